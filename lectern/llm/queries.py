@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions.terms import distinctive_terms
-from lectern.llm import lines, mixing, pairs, tokenize
+from lectern.llm import lines, mixing, pairs, splitting, tokenize
 from lectern.sources.tables import one_per_key, stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,13 +33,29 @@ def p3_clean(spark: SparkSession, d: str) -> DataFrame:
     return lines.without_lines(one_per_key(table(spark, d, "extractions").select("file_id", "text"), "file_id"), bad)
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.split_items(table(spark, d, "chunks"), "chunk_id").select("chunk_id", "boundary").distinct()
+
+
+def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.pieces(table(spark, d, "chunks"), "chunk_id", ["title"])
+
+
 OVERLAP, SHARED, TERMS = 0.34, 3, 3
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     skills = one_per_key(table(spark, d, "skills").select("skill_id", "description"), "skill_id")
     sets = skills.select(F.col("skill_id").alias("id"), distinctive_terms(F.col("description")).alias("terms"))
-    found = pairs.expand(*pairs.similar_pairs(sets, OVERLAP, SHARED, TERMS))
+    found = pairs.expand(*pairs.similar_pairs(sets, def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.split_items(table(spark, d, "chunks"), "chunk_id").select("chunk_id", "boundary").distinct()
+
+
+def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.pieces(table(spark, d, "chunks"), "chunk_id", ["title"])
+
+
+OVERLAP, SHARED, TERMS))
     return found.select(F.col("id_a").alias("skill_a"), F.col("id_b").alias("skill_b"))
 
 
@@ -62,7 +78,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p3_found": p3_found, "p3_clean": p3_clean, "p6_found": p6_found, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares}
+    return {"p3_found": p3_found, "p3_clean": p3_clean, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_found": p6_found, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares}
 
 
 def oracle_sql() -> dict[str, str]:
