@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.sources.tables import stored
@@ -34,18 +34,18 @@ from lectern.sources.tables import stored
 MIN_FILES = 8
 MIN_CHARS = 20
 SHINGLE = 5
-BANDS, ROWS = 4, 3
-#: Of BANDS * ROWS min-hashes, those that must agree with the cluster's representative; 9 of 12 is where a Jaccard of 0.8 is likelier than not.
-AGREE = 9
+#: Min-hashes of 16 bits, four to a signature word; three pairs of them are the bands.
+HASHES, BANDS, ROWS = 8, 3, 2
+#: Min-hashes that must agree with the cluster's representative: at a Jaccard of 0.8 six of eight are likelier than not.
+AGREE = 6
 
 _DIGITS, _SPACE = re.compile(r"\d+"), re.compile(r"[^\S\n]+")
-_DROP = dict.fromkeys((0x200B, 0xAD))
 
 
 def forms(text: str) -> Iterator[tuple[int, str, str]]:
     """(line number, form, line before lower-casing) of the lines of a text that can count as repeated."""
     fenced = False
-    lines = _SPACE.sub(" ", _DIGITS.sub("0", text.translate(_DROP))).split("\n")
+    lines = _SPACE.sub(" ", _DIGITS.sub("0", text.replace("\u200b", "").replace("\xad", ""))).split("\n")
     for n, line in enumerate(lines, 1):
         line = line.strip()
         if line.startswith(("```", "~~~")):
@@ -71,13 +71,13 @@ class Signer:
     def __init__(self) -> None:
         self.hashes: dict[str, int] = {}
         rng = np.random.default_rng(7)
-        self.mul = rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
-        self.add = rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+        self.mul = rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) | np.uint64(1)
+        self.add = rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
 
     def __call__(self, lines: list[str]) -> np.ndarray:
-        """len(lines) x (BANDS * ROWS) unsigned 32-bit min-hashes."""
+        """Two signature words of four 16-bit min-hashes each, per line."""
         if not lines:
-            return np.zeros((0, BANDS * ROWS), np.uint32)
+            return np.zeros((0, 2), np.int64)
         split = [x.split(" ") for x in lines]
         words = [w for x in split for w in x]
         sizes = np.fromiter(map(len, split), np.int64, len(split))
@@ -108,36 +108,44 @@ class Signer:
             rolled = rolled[keep]
             n = np.maximum(sizes - SHINGLE + 1, 1)
             at = np.concatenate([[0], np.cumsum(n)[:-1]])
-            out = np.empty((len(lines), BANDS * ROWS), np.uint32)
-            for k in range(BANDS * ROWS):
-                out[:, k] = np.minimum.reduceat(((rolled ^ (rolled >> np.uint64(29))) * self.mul[k] + self.add[k]) >> np.uint64(32), at)
-        return out
+            mixed = rolled ^ (rolled >> np.uint64(29))
+            out = np.zeros((len(lines), 2), np.uint64)
+            for k in range(HASHES):
+                least = np.minimum.reduceat((mixed * self.mul[k] + self.add[k]) >> np.uint64(20), at)
+                out[:, k // 4] |= (least * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(48)) << np.uint64(16 * (k % 4))
+        return out.view(np.int64)
+
+
+_LINE = [("line_no", pa.int32()), ("form", pa.int64()), ("fresh", pa.int32()), ("s0", pa.int64()), ("s1", pa.int64())]
 
 
 def file_lines(df: DataFrame, key: str = "file_id", text: str = "text") -> DataFrame:
-    """(key, lines: array of (line_no, form, sig)) per row; form is a 128-bit hash, sig the min-hashes."""
+    """(key, lines: array of (line_no, form, fresh, s0, s1)) per row; form is a 64-bit hash, fresh is 1 at the first line of that form in the text, s0 and s1 are the signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sign = Signer()
         for batch in batches:
-            per, numbers, hashes, masked = [], [], [], []
+            per, numbers, hashes, fresh, masked = [], [], [], [], []
             for t in batch.column(1).to_pylist():
-                before = len(numbers)
+                before, seen = len(numbers), set()
                 for n, form, line in forms(t) if t else ():
+                    h = xxhash.xxh3_64_intdigest(form)
                     numbers.append(n)
-                    hashes.append(xxhash.xxh3_128_digest(form))
+                    hashes.append(h)
+                    fresh.append(h not in seen)
+                    seen.add(h)
                     masked.append(line)
                 per.append(len(numbers) - before)
-            sig = sign(masked).view(np.int32)
-            lists = pa.ListArray.from_arrays(np.arange(0, sig.size + 1, BANDS * ROWS, dtype=np.int32), pa.array(sig.reshape(-1)))
-            rows = pa.StructArray.from_arrays([pa.array(numbers, pa.int32()), pa.array(hashes, pa.binary()), lists], names=["line_no", "form", "sig"])
+            sig = sign(masked)
+            columns = [np.array(numbers, np.int32), np.array(hashes, np.uint64).view(np.int64), np.array(fresh, np.int32), np.ascontiguousarray(sig[:, 0]), np.ascontiguousarray(sig[:, 1])]
+            rows = pa.StructArray.from_arrays([pa.array(c) for c in columns], names=[n for n, _ in _LINE])
             offsets = np.concatenate([[0], np.cumsum(per)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), rows)], names=[key, "lines"])
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, lines array<struct<line_no:int,form:binary,sig:array<int>>>")
+    return df.select(key, text).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, lines array<struct<line_no:int,form:bigint,fresh:int,s0:bigint,s1:bigint>>")
 
 
-def source_of(path):
+def source_of(path: Column) -> Column:
     """Host of a URL path without www. and port; repository before the colon; directory of a local path."""
     host = F.regexp_replace(F.regexp_replace(F.lower(F.regexp_extract(path, r"(?i)^https?://(?:[^/?#]*@)?([^/?#]*)", 1)), r":\d*$", ""), r"^www\.", "")
     repo = F.regexp_extract(path, r"^([^/:\\]+/[^/:\\]+):", 1)
@@ -145,37 +153,40 @@ def source_of(path):
     return F.when(path.rlike("(?i)^https?://"), host).when(repo != "", repo).otherwise(folder)
 
 
-def repeated_lines(texts: DataFrame, sources: DataFrame, key: str = "file_id", text: str = "text", min_files: int = MIN_FILES) -> tuple[DataFrame, DataFrame]:
-    """(lines, clusters) of texts (key, text) whose source is given by sources (key, source).
+def repeated_lines(texts: DataFrame, sources: DataFrame, key: str = "file_id", text: str = "text", min_files: int = MIN_FILES) -> DataFrame:
+    """The lines of frequent clusters in texts (key, text) whose source is given by sources (key, source).
 
-    lines: key, source, line_no, form.  clusters: source, form, form_files (files with
-    this very form), cluster, cluster_files (files of all forms of the cluster, of
-    which there are at least ``min_files``).
+    One row per line: key, line_no, form (hash of source and form), form_files (files with
+    this very form), cluster, cluster_files (files of all forms of the cluster, at least
+    ``min_files``).
     """
     one = sources.groupBy(key).agg(F.min("source").alias("source")).where("source is not null")
     read = file_lines(texts, key, text).where(F.size("lines") > 0).dropDuplicates([key]).join(one, key)
-    read = stored(read.select(key, "source", "lines"))
-    lines = read.select(key, "source", F.explode("lines").alias("_l")).select(key, "source", "_l.line_no", "_l.form", "_l.sig")
-    counted = lines.groupBy("source", "form").agg(F.count_distinct(key).alias("form_files"), F.any_value("sig").alias("sig"))
-    counted = stored(counted)
-    bands = F.array(*[F.xxhash64("source", F.lit(b), F.slice("sig", b * ROWS + 1, ROWS)) for b in range(BANDS)])
-    in_band = counted.select("form", "form_files", F.explode(bands).alias("band"))
+    read = stored(read.select(key, F.xxhash64("source").alias("source"), "lines"))
+    lines = read.select(key, "source", F.explode("lines").alias("_l")).select(key, "source", F.xxhash64("source", "_l.form").alias("form"), "_l.line_no", "_l.fresh", "_l.s0", "_l.s1")
+    counted = stored(lines.groupBy("form").agg(F.sum("fresh").alias("form_files"), F.min("source").alias("source"), F.min("s0").alias("s0"), F.min("s1").alias("s1")))
+    pair = [F.col("s0").bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned("s0", 32), F.col("s1").bitwiseAND(0xFFFFFFFF)]
+    bands = F.array(*[F.xxhash64("source", F.lit(b), p) for b, p in enumerate(pair)])
+    # one shuffle by band serves both the sums and the join with them
+    in_band = counted.select("form", "form_files", F.explode(bands).alias("band")).repartition("band")
     # a band with too few lines makes no frequent cluster; its strongest form stands for the rest
-    strong = in_band.groupBy("band").agg(F.sum("form_files").alias("n"), F.max(F.struct("form_files", "form")).alias("lead")).where(F.col("n") >= min_files)
-    pick = counted.select("source", "form", "form_files", "sig", F.explode(bands).alias("band")).join(strong.select("band", "lead"), "band")
-    pick = pick.groupBy("source", "form").agg(F.any_value("form_files").alias("form_files"), F.any_value("sig").alias("sig"), F.max("lead").alias("lead"))
-    lead = counted.select("source", F.col("form").alias("cluster"), F.col("sig").alias("lead_sig"))
-    agree = F.size(F.filter(F.zip_with("sig", "lead_sig", lambda a, b: a == b), lambda x: x))
-    joined = pick.withColumn("cluster", F.col("lead.form")).join(lead, ["source", "cluster"])
-    # a form too far from its band's lead stands alone
-    joined = joined.withColumn("cluster", F.when(agree >= AGREE, F.col("cluster")).otherwise(F.col("form")))
-    joined = joined.select("source", "form", "form_files", "cluster")
-    return lines.select(key, "source", "line_no", "form"), _frequent(lines.select(key, "source", "form"), joined, key, min_files)
+    strong = in_band.groupBy("band").agg(F.sum("form_files").alias("n"), F.max("form_files").alias("top"), F.max_by("form", F.struct("form_files", "form")).alias("lead")).where(F.col("n") >= min_files)
+    met = in_band.join(strong.select("band", "lead", "top"), "band")
+    pick = met.groupBy("form").agg(F.max(F.struct("top", "lead")).getField("lead").alias("lead"))
+    signed = counted.select("form", "form_files", "s0", "s1")
+    lead = signed.select(F.col("form").alias("lead"), F.col("s0").alias("t0"), F.col("s1").alias("t1"))
 
+    def same(a: str, b: str):
+        x = F.col(a).bitwiseXOR(F.col(b))
+        return sum((F.shiftrightunsigned(x, 16 * k).bitwiseAND(0xFFFF) == 0).cast("int") for k in range(4))
 
-def _frequent(lines: DataFrame, joined: DataFrame, key: str, min_files: int) -> DataFrame:
-    files = lines.join(joined.select("source", "form", "cluster"), ["source", "form"]).groupBy("source", "cluster").agg(F.count_distinct(key).alias("cluster_files"))
-    return joined.join(files.where(F.col("cluster_files") >= min_files), ["source", "cluster"])
+    near = same("s0", "t0") + same("s1", "t1") >= AGREE
+    # a form too far from its band's lead stands alone
+    member = pick.join(signed, "form").join(lead, "lead").select("form", "form_files", F.when(near, F.col("lead")).otherwise(F.col("form")).alias("cluster"))
+    marked = stored(lines.select(key, "line_no", "form", "fresh").join(member, "form"))
+    # a file counts once for all forms of a cluster
+    files = marked.where("fresh = 1").groupBy("cluster").agg(F.count_distinct(key).alias("cluster_files")).where(F.col("cluster_files") >= min_files)
+    return marked.drop("fresh").join(files, "cluster")
 
 
 def without_lines(texts: DataFrame, bad: DataFrame, key: str = "file_id", text: str = "text") -> DataFrame:

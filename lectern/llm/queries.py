@@ -14,23 +14,20 @@ from lectern.sources.tables import one_per_key, stored, table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _lines(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _repeated(spark: SparkSession, d: str) -> DataFrame:
     reports = table(spark, d, "file_reports").select("file_id", lines.source_of(F.col("path")).alias("source"))
     return lines.repeated_lines(table(spark, d, "extractions"), reports)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Lines of frequent clusters whose own form is as frequent."""
-    every, clusters = _lines(spark, d)
-    exact = clusters.where(F.col("form_files") >= lines.MIN_FILES).select("source", "form")
-    return every.join(exact, ["source", "form"], "left_semi").select("file_id", F.col("line_no").cast("bigint").alias("line_no"))
+    found = _repeated(spark, d).where(F.col("form_files") >= lines.MIN_FILES)
+    return found.select("file_id", F.col("line_no").cast("bigint").alias("line_no"))
 
 
 def p3_clean(spark: SparkSession, d: str) -> DataFrame:
     """The texts without the lines their source repeats, near copies included."""
-    every, clusters = _lines(spark, d)
-    bad = every.join(clusters.select("source", "form"), ["source", "form"], "left_semi")
-    return lines.without_lines(one_per_key(table(spark, d, "extractions").select("file_id", "text"), "file_id"), bad)
+    return lines.without_lines(one_per_key(table(spark, d, "extractions").select("file_id", "text"), "file_id"), _repeated(spark, d))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
