@@ -2,15 +2,40 @@
 
 from __future__ import annotations
 
+import io
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers of all executors, once per application."""
+    context = spark.sparkContext
+    if getattr(context, "_lectern_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(root):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.join("lectern", os.path.relpath(full, root)))
+    # read once by the driver, which serves it to the executors itself
+    path = os.path.join(tempfile.mkdtemp(prefix="lectern-"), "lectern.zip")
+    with open(path, "wb") as f:
+        f.write(packed.getvalue())
+    context.addPyFile(path)
+    context._lectern_shipped = True
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -41,3 +66,19 @@ def stored(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
     path = f"{folder.rstrip('/')}/lectern-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def bounded_sample(df: DataFrame, key: str, most: int) -> list:
+    """At most ``most`` rows on the driver, those of the least key hashes, one per key: the same rows whatever the partitioning.
+
+    Two passes: a count, then a filter on the hash that lets about 1.3 * ``most`` rows through, so no task sends more than its share.
+    """
+    n = df.count()
+    bits = 24
+    least = (1 << bits) if n <= most else min(1 << bits, int((1 << bits) * (1.3 * most + 50) / n) + 1)
+    placed = df.withColumn("_h", F.xxhash64(F.lit("sample"), key))
+    kept = placed.where(F.shiftrightunsigned("_h", 64 - bits) < least).orderBy(F.shiftrightunsigned("_h", 1), key).limit(3 * most + 100).collect()
+    out = {}
+    for r in kept:
+        out.setdefault(r[key], r)
+    return [*out.values()][:most]
