@@ -8,12 +8,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions.terms import distinctive_terms
-from lectern.llm import lines, mixing, pairs, splitting, tokenize
+from lectern.llm import fetched, lines, mixing, pairs, splitting, tokenize
 from lectern.sources.tables import one_per_key, stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Furniture blocks of pages that have content."""
+    judged = fetched.judged_pages(table(spark, d, "fetched"))
+    rows = judged.where("kind is null").dropDuplicates(["fetch_id"])
+    return rows.select("fetch_id", F.explode("furniture").alias("block_no"))
+
+
+def p2_main(spark: SparkSession, d: str) -> DataFrame:
+    """The main body of each page that has content."""
+    judged = fetched.judged_pages(table(spark, d, "fetched"), with_text=True)
+    return judged.where("kind is null").select("fetch_id", "title", "text").dropDuplicates(["fetch_id"])
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    pages = fetched.judged_pages(table(spark, d, "fetched")).where("kind is not null").select(F.lit("fetch").alias("rec"), F.col("fetch_id").alias("rec_id"), "kind")
+    crawls = fetched.judged_entries(table(spark, d, "crawl_stats")).select(F.lit("crawl").alias("rec"), F.col("crawl_id").alias("rec_id"), "kind")
+    return pages.unionByName(crawls).distinct()
+
+
+def p5_holdout(spark: SparkSession, d: str) -> DataFrame:
+    """The classifier against the labeller, on hosts it wasn't trained on."""
+    return fetched.holdout(table(spark, d, "fetched"))
+
+
 def _repeated(spark: SparkSession, d: str) -> DataFrame:
     reports = table(spark, d, "file_reports").select("file_id", lines.source_of(F.col("path")).alias("source"))
     return lines.repeated_lines(table(spark, d, "extractions"), reports)
@@ -67,7 +91,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p3_found": p3_found, "p3_clean": p3_clean, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_found": p6_found, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares}
+    return {"p2_found": p2_found, "p2_main": p2_main, "p5_found": p5_found, "p5_holdout": p5_holdout, "p3_found": p3_found, "p3_clean": p3_clean, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_found": p6_found, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares}
 
 
 def oracle_sql() -> dict[str, str]:
