@@ -8,12 +8,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions.terms import distinctive_terms
-from lectern.llm import fetched, lines, mixing, pairs, splitting, tokenize
+from lectern.llm import fetched, lines, markup, mixing, pairs, splitting, tokenize
 from lectern.sources.tables import one_per_key, stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """The languages whose syntax stands in a file's text."""
+    found = markup.decoded(table(spark, d, "extractions"))
+    return found.select("file_id", F.explode("markup").alias("markup")).distinct()
+
+
+def p1_clean(spark: SparkSession, d: str) -> DataFrame:
+    """The texts without markup residue; headings, lists, code and formulas stay."""
+    return markup.decoded(table(spark, d, "extractions"), clean=True).select("file_id", "text").dropDuplicates(["file_id"])
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Furniture blocks of pages that have content."""
     judged = fetched.judged_pages(table(spark, d, "fetched"))
@@ -91,7 +102,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p2_found": p2_found, "p2_main": p2_main, "p5_found": p5_found, "p5_holdout": p5_holdout, "p3_found": p3_found, "p3_clean": p3_clean, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_found": p6_found, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares}
+    return {"p1_found": p1_found, "p1_clean": p1_clean, "p2_found": p2_found, "p2_main": p2_main, "p5_found": p5_found, "p5_holdout": p5_holdout, "p3_found": p3_found, "p3_clean": p3_clean, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_found": p6_found, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares}
 
 
 def oracle_sql() -> dict[str, str]:
