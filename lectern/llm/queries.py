@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions.terms import distinctive_terms
-from lectern.llm import fetched, lines, markup, mixing, pairs, splitting, tokenize
+from lectern.llm import fetched, lines, markup, mixing, pairs, pii, splitting, tokenize
 from lectern.sources.tables import one_per_key, stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -101,8 +101,22 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(*_mix(spark, d))
 
 
+def _pii(spark: SparkSession, d: str, replaced: bool = False) -> DataFrame:
+    documents = table(spark, d, "documents")
+    return pii.found(documents, pii.trained(documents, table(spark, d, "given_names")), replaced=replaced)
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _pii(spark, d).select("doc_id", F.inline("pieces")).distinct()
+
+
+def p9_replaced(spark: SparkSession, d: str) -> DataFrame:
+    """The texts with a placeholder in place of each piece."""
+    return _pii(spark, d, replaced=True).select("doc_id", "text")
+
+
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_clean": p1_clean, "p2_found": p2_found, "p2_main": p2_main, "p5_found": p5_found, "p5_holdout": p5_holdout, "p3_found": p3_found, "p3_clean": p3_clean, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_found": p6_found, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares}
+    return {"p1_found": p1_found, "p1_clean": p1_clean, "p2_found": p2_found, "p2_main": p2_main, "p5_found": p5_found, "p5_holdout": p5_holdout, "p3_found": p3_found, "p3_clean": p3_clean, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_found": p6_found, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_replaced": p9_replaced}
 
 
 def oracle_sql() -> dict[str, str]:
