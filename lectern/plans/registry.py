@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import importlib
 
-from pyspark.sql import DataFrame, SparkSession
+from lectern.plans.base import Query
 
-Query = Callable[[SparkSession, str], DataFrame]
+MODULES = ("texts", "web")
+
+
+def _collect(what: str) -> dict:
+    out: dict = {}
+    for name in MODULES:
+        out |= getattr(importlib.import_module(f"lectern.plans.{name}").R, what)
+    return out
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return _collect("queries")
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return _collect("sql")
