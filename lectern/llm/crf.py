@@ -79,6 +79,8 @@ class Chain:
         if not scores:
             return []
         k, step = range(len(self.labels)), self._step
+        if len(self.labels) == 2:
+            return self._decode_two(scores)
         best = [b + s for b, s in zip(self._begin, scores[0], strict=True)]
         back = []
         for s in scores[1:]:
@@ -96,6 +98,23 @@ class Chain:
             out.append(y)
         return out[::-1]
 
+    def _decode_two(self, scores: list[Sequence[float]]) -> list[int]:
+        """Viterbi for two labels, on what the second is ahead of the first."""
+        (aa, ab), (ba, bb) = self._step
+        ahead = self._begin[1] - self._begin[0] + scores[0][1] - scores[0][0]
+        back = []
+        for s in scores[1:]:
+            # into label 0, and into label 1: which label to come from
+            to0, to1 = ahead + ba > aa, ahead + bb > ab
+            back.append((to0, to1))
+            ahead = (ahead + bb if to1 else ab) - (ahead + ba if to0 else aa) + s[1] - s[0]
+        y = int(ahead > 0)
+        out = [y]
+        for came in reversed(back):
+            y = int(came[y])
+            out.append(y)
+        return out[::-1]
+
     @property
     def _step(self) -> list[list[float]]:
         if "_steps" not in self.__dict__:

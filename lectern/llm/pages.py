@@ -161,7 +161,7 @@ _WORD = re.compile(r"[^\W\d_]+|\d+|[©|»›@:?]")
 _WIDE = re.compile(r"[぀-ヿ㐀-鿿가-힯]+")
 
 
-def text_features(tag: str, text: str) -> list[int]:
+def text_names(tag: str, text: str) -> set[str]:
     """Features of a block's own text: its words (pairs of characters in scripts without spaces), ends and shape."""
     names = {f"t={tag}"}
     low = text.lower()
@@ -174,7 +174,7 @@ def text_features(tag: str, text: str) -> list[int]:
     names.update(f"b={a} {b}" for a, b in zip(words[:6], words[1:6], strict=False))
     names.add(f"f={tag}/{text[:1].isupper()}/{text[-1:] in '.!?。！？:'}")
     names.add(f"n={tag}/{min(len(words), 60).bit_length()}")
-    return [bucket(n) for n in names]
+    return names
 
 
 def shape_names(key: tuple) -> list[str]:
@@ -216,23 +216,37 @@ class Reader:
 
     def __init__(self, chain: Chain) -> None:
         self.chain = chain
-        self.texts: dict[tuple[str, str], list[float]] = {}
-        self.places: dict[tuple, list[float]] = {}
+        # of two labels only the difference counts
+        self.weight = (chain.weights[:, MAIN] - chain.weights[:, FURNITURE]).tolist()
+        self.names: dict[str, float] = {}
+        self.texts: dict[tuple[str, str], float] = {}
+        self.places: dict[tuple, float] = {}
+
+    def _score(self, names) -> float:
+        known, total = self.names, 0.0
+        for n in names:
+            w = known.get(n)
+            if w is None:
+                w = known[n] = self.weight[bucket(n)]
+            total += w
+        return total
 
     def labels(self, title: str, blocks: list[Block]) -> list[int]:
-        if len(self.texts) > 200_000:
+        if len(self.texts) > 100_000:
             self.texts.clear()
+        if len(self.names) > 500_000:
+            self.names.clear()
         if len(self.places) > 200_000:
             self.places.clear()
         scores = []
         for b, key in zip(blocks, shapes(title, blocks), strict=True):
             text = self.texts.get((b.tag, b.text))
             if text is None:
-                text = self.texts[b.tag, b.text] = self.chain.emission(text_features(b.tag, b.text))
+                text = self.texts[b.tag, b.text] = self._score(text_names(b.tag, b.text))
             place = self.places.get(key)
             if place is None:
-                place = self.places[key] = self.chain.emission([bucket(n) for n in shape_names(key)])
-            scores.append([x + y for x, y in zip(text, place, strict=True)])
+                place = self.places[key] = self._score(shape_names(key))
+            scores.append((0.0, text + place))
         return self.chain.decode(scores)
 
 
@@ -287,7 +301,7 @@ def train(pages: list[tuple[str, list[Block]]]) -> Chain:
     data = []
     for (title, blocks), ys in zip(pages, labels, strict=True):
         keys = shapes(title, blocks)
-        data.append([(text_features(b.tag, b.text) + [bucket(n) for n in shape_names(k)], y) for b, k, y in zip(blocks, keys, ys, strict=True)])
+        data.append([([bucket(n) for n in (*text_names(b.tag, b.text), *shape_names(k))], y) for b, k, y in zip(blocks, keys, ys, strict=True)])
     return Chain(["furniture", "main"]).train(data)
 
 
