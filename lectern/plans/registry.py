@@ -6,7 +6,7 @@ import importlib
 
 from lectern.plans.base import Query
 
-MODULES = ("texts", "web")
+MODULES = ("texts", "web", "skills")
 
 
 def _collect(what: str) -> dict:
