@@ -6,7 +6,7 @@ import importlib
 
 from lectern.plans.base import Query
 
-MODULES = ("texts", "web", "skills", "structure")
+MODULES = ("texts", "web", "skills", "structure", "runs")
 
 
 def _collect(what: str) -> dict:

@@ -51,7 +51,7 @@ _STRUCT = f"""{_LINES}, q AS (SELECT doc_id, line_no, {_BARE.format('line')} AS
 
 @R.add(f"WITH {_STRUCT} SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS chapters FROM documents LEFT JOIN v USING (doc_id) WHERE text IS NOT NULL")
 def structural_count(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where("text is not null").select("doc_id", C.structural_count(F.col("text")).alias("chapters"))
+    return table(spark, d, "documents").where("text is not null").select("doc_id", C.structural_count("text").alias("chapters"))
 
 
 _TOC_SQL = C.TOC.replace("(?imu)", "(?im)")
