@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions.terms import distinctive_terms
+from lectern.functions.text import WS
 from lectern.llm import fetched, lines, markup, mixing, pairs, pii, splitting, tokenize
+from lectern.plans import skills as skill_plans
 from lectern.sources.tables import one_per_key, stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -119,5 +121,28 @@ def queries() -> dict[str, Query]:
     return {"p1_found": p1_found, "p1_clean": p1_clean, "p2_found": p2_found, "p2_main": p2_main, "p5_found": p5_found, "p5_holdout": p5_holdout, "p3_found": p3_found, "p3_clean": p3_clean, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_found": p6_found, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_replaced": p9_replaced}
 
 
+_P3 = r"""WITH e AS (SELECT DISTINCT file_id, text FROM extractions WHERE text IS NOT NULL), p AS (SELECT DISTINCT file_id, path FROM file_reports),
+  s AS (SELECT file_id, CASE WHEN regexp_matches(path, '(?i)^https?://') THEN regexp_replace(regexp_replace(lower(regexp_extract(path, '(?i)^https?://(?:[^/?#]*@)?([^/?#]*)', 1)), ':[0-9]*$', ''), '^www\.', '')
+    WHEN regexp_matches(path, '^[^/:]+/[^/:]+:') THEN regexp_extract(path, '^([^/:]+/[^/:]+):', 1) ELSE regexp_extract(path, '(?s)^(.*)[/\\]', 1) END AS source FROM p),
+  l AS (SELECT file_id, unnest(x) AS raw, generate_subscripts(x, 1) AS line_no FROM (SELECT file_id, string_split(replace(replace(text, chr(8203), ''), chr(173), ''), chr(10)) AS x FROM e)),
+  t AS (SELECT *, regexp_replace(raw, '^[<WS>]+', '') AS bare FROM l),
+  f AS (SELECT *, regexp_matches(bare, '^(?:```|~~~)') AS fence, count(*) FILTER (regexp_matches(bare, '^(?:```|~~~)')) OVER (PARTITION BY file_id ORDER BY line_no) AS fences FROM t),
+  n AS (SELECT file_id, line_no, regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(raw), '\p{Nd}+', '0', 'g'), '[<WS>]+', ' ', 'g'), '^[^\p{L}\p{N}]+', ''), '[^\p{L}\p{N}]+$', '') AS form
+    FROM f WHERE NOT fence AND fences % 2 = 0 AND NOT starts_with(bare, '#')),
+  g AS (SELECT source, form FROM n JOIN s USING (file_id) WHERE length(form) >= 20 GROUP BY source, form HAVING count(DISTINCT file_id) >= 8)
+  SELECT file_id, line_no FROM n JOIN s USING (file_id) JOIN g USING (source, form)"""
+
+_P4 = r"""WITH c AS (SELECT DISTINCT chunk_id, text FROM chunks WHERE length(text) > 2400),
+  l AS (SELECT chunk_id, unnest(x) AS line, generate_subscripts(x, 1) AS n FROM (SELECT chunk_id, string_split(text, chr(10)) AS x FROM c)),
+  f AS (SELECT *, regexp_replace(line, '^[<WS>]+', '') AS bare, count(*) FILTER (regexp_matches(line, '^[<WS>]*(?:```|~~~)')) OVER (PARTITION BY chunk_id ORDER BY n) AS fences FROM l),
+  b AS (SELECT *, bare = '' AND fences % 2 = 0 AS blank FROM f),
+  u AS (SELECT *, count(*) FILTER (blank) OVER (PARTITION BY chunk_id ORDER BY n) AS unit FROM b),
+  v AS (SELECT chunk_id, max(size) AS longest FROM (SELECT chunk_id, unit, sum(length(line)) + count(*) - 1 AS size FROM u WHERE NOT blank GROUP BY chunk_id, unit) GROUP BY chunk_id),
+  w AS (SELECT chunk_id, max(length(line)) AS longest, max(list_max(list_transform(string_split(regexp_replace(regexp_replace(line, '([.!?])([<WS>])', '\1' || chr(57345) || '\2', 'g'), '([。！？])', '\1' || chr(57345), 'g'), chr(57345)), lambda x: length(x)))) AS sentence FROM l GROUP BY chunk_id)
+  SELECT chunk_id, CASE WHEN v.longest <= 2200 THEN 'blank' WHEN w.longest <= 2200 THEN 'line' WHEN w.sentence <= 2200 THEN 'sentence' ELSE 'none' END AS boundary FROM w LEFT JOIN v USING (chunk_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for what SQL can express over whole tables; the rest is held against brute force and held-out accuracy in the tests."""
+    terms = f"WITH {skill_plans._S}, {skill_plans._T}, {skill_plans._OVERLAP} SELECT skill_a, skill_b FROM v"
+    return {"p3_found": _P3.replace("<WS>", WS), "p4_found": _P4.replace("<WS>", WS), "p6_found": terms.replace("<WS>", WS)}
