@@ -8,6 +8,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from lectern.sources.tables import in_batches
+
 Completer = Callable[[str, str], str]
 
 #: Attempts per call, and the answers worth another attempt.
@@ -73,4 +75,4 @@ def complete_rows(df: DataFrame, key: str, prompt: str, system: str, complete: C
                 errors.append(error)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(replies, pa.string()), pa.array(errors, pa.string())], names=[key, "reply", "error"])
 
-    return df.select(key, prompt).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, reply string, error string")
+    return in_batches(df.select(key, prompt), run, f"`{key}` {df.schema[key].dataType.simpleString()}, reply string, error string")

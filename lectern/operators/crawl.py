@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.functions import urls as U
-from lectern.sources.tables import checkpoint
+from lectern.sources.tables import checkpoint, in_batches
 
 AGENT = "lectern"
 #: How far a crawl goes by default.
@@ -85,7 +85,7 @@ def robots_allow(urls: DataFrame, robots: DataFrame, key: str, origin: str = "or
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], names=[key, "allowed"])
 
     joined = urls.join(robots.select(origin, body), origin, "left").select(key, path, body)
-    return joined.mapInArrow(run, f"`{key}` {urls.schema[key].dataType.simpleString()}, allowed boolean")
+    return in_batches(joined, run, f"`{key}` {urls.schema[key].dataType.simpleString()}, allowed boolean")
 
 
 def seeds_of_index(text: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.text import WS, lines, trim
 from lectern.operators.chunking import lines_of
+from lectern.sources.tables import in_batches
 
 #: Tokens per excerpt, and of a skill in front of a model.
 EXCERPT_TOKENS, SKILL_TOKENS = 12_000, 60_000
@@ -50,7 +51,7 @@ def excerpts(df: DataFrame, key: str, count: int, text: str = "text", most: int
             parts = [excerpts_of(x or "", count, most) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(parts, pa.list_(pa.string()))], names=[key, "parts"])
 
-    rows = df.select(key, text).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, parts array<string>")
+    rows = in_batches(df.select(key, text), run, f"`{key}` {df.schema[key].dataType.simpleString()}, parts array<string>")
     return rows.select(key, F.posexplode("parts").alias("_n", "excerpt")).select(key, (F.col("_n") + 1).cast("bigint").alias("excerpt_no"), "excerpt")
 
 

@@ -22,7 +22,7 @@ from lectern.functions import html as H
 from lectern.functions import text as T
 from lectern.operators.paged import clean_paged_text
 from lectern.operators.sources import path_extension, route
-from lectern.sources.tables import ship
+from lectern.sources.tables import in_batches, ship
 
 #: A reader turns the bytes of a file into text; any exception is a failure of that file.
 Reader = Callable[[bytes], str]
@@ -148,7 +148,7 @@ def read_files(spark: SparkSession, path: str, glob: str | None = None, pdf: Rea
             yield pa.RecordBatch.from_arrays(arrays, names=["path", "extension", "method", "text", "error"])
 
     other = rows.where("route IS NULL OR route IN ('office', 'kindle', 'pdf')").select("path", "extension", "content", "route")
-    rest = other.select("path", "extension", "content", "route").mapInArrow(convert, schema)
+    rest = in_batches(other.select("path", "extension", "content", "route"), convert, schema)
     paged = rest.where("method = 'pdf-markdown' AND text IS NOT NULL")
     cleaned = paged.drop("text").join(clean_paged_text(paged, "path"), "path").select(*rest.columns)
     unpaged = rest.where("NOT (method <=> 'pdf-markdown' AND text IS NOT NULL)")

@@ -34,6 +34,12 @@ def ship(spark: SparkSession) -> None:
     context._lectern_shipped = True
 
 
+def in_batches(df: DataFrame, run, schema: str) -> DataFrame:
+    """``run`` over the Arrow batches of the rows, where they are, with this package at hand."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
