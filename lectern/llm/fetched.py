@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm import pages as P
 from lectern.llm import residue as R
-from lectern.sources.tables import bounded_sample
+from lectern.sources.tables import bounded_sample, in_batches
 
 
 def _host(url: str | None) -> str:
@@ -63,7 +63,7 @@ def judged_pages(fetched: DataFrame, with_text: bool = False) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     schema = "fetch_id bigint, kind string, furniture array<bigint>" + (", title string, text string" if with_text else "")
-    return fetched.select("fetch_id", "bytes", "content_type").mapInArrow(run, schema)
+    return in_batches(fetched.select("fetch_id", "bytes", "content_type"), run, schema)
 
 
 def judged_entries(crawls: DataFrame) -> DataFrame:
@@ -80,7 +80,7 @@ def judged_entries(crawls: DataFrame) -> DataFrame:
                     kinds.append(kind)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(kinds, pa.string())], names=["crawl_id", "kind"])
 
-    return crawls.select("crawl_id", "errors").where(F.size("errors") > 0).mapInArrow(run, "crawl_id bigint, kind string").distinct()
+    return in_batches(crawls.select("crawl_id", "errors").where(F.size("errors") > 0), run, "crawl_id bigint, kind string").distinct()
 
 
 def holdout(fetched: DataFrame) -> DataFrame:

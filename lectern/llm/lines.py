@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.sources.tables import stored
+from lectern.sources.tables import in_batches, stored
 
 MIN_FILES = 8
 MIN_CHARS = 20
@@ -142,7 +142,7 @@ def file_lines(df: DataFrame, key: str = "file_id", text: str = "text") -> DataF
             offsets = np.concatenate([[0], np.cumsum(per)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), rows)], names=[key, "lines"])
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, lines array<struct<line_no:int,form:bigint,fresh:int,s0:bigint,s1:bigint>>")
+    return in_batches(df.select(key, text), run, f"`{key}` {df.schema[key].dataType.simpleString()}, lines array<struct<line_no:int,form:bigint,fresh:int,s0:bigint,s1:bigint>>")
 
 
 def source_of(path: Column) -> Column:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from lectern.llm.crf import Chain, bucket
-from lectern.sources.tables import bounded_sample
+from lectern.sources.tables import bounded_sample, in_batches
 
 TRAIN_TEXTS = 2500
 LABELS = ["clean", "html", "markdown", "wiki", "latex"]
@@ -58,12 +58,12 @@ _FORMS: list[tuple[str, str | None, str]] = [
     ("outlink", "wiki", r"\[(?:https?:)?//[^\s\]]+(?: [^\]\n]*)?\]"),
     ("reference", "markdown", r"(?<!\[)\[[^\[\]\n]+\]\[[^\[\]\n]*\](?!\])"),
     ("template", "wiki", r"\{\{[^{}\n]+\|[^{}\n]*\}\}"),
-    ("wikitable", "wiki", r"(?m:^)(?:\{\|[^\n]*|\|\}|\|-+[^\n|]*|\|[^|\n]+(?:\|\|[^\n]*)|![^\n]*!![^\n]*)"),
+    ("rule", "markdown", r"(?m:^)[ \t]*\|?[ \t]*:?-{2,}:?[ \t]*(?:\|[ \t]*:?-{2,}:?[ \t]*)+\|?[ \t]*(?m:$)"),
+    ("wikitable", "wiki", r"(?m:^)(?:\{\|[^\n]*|\|\}|\|-+(?![^\n]*\|)[^\n]*|\|[^|\n]+(?:\|\|[^\n]*)|![^\n]*!![^\n]*)"),
     ("magic", "wiki", r"__[A-Z]{3,}__"),
     ("wikihead", "wiki", r"(?m:^)(?P<_equal>={2,6}) ?[^=\n]+? ?(?P=_equal)[ \t]*(?m:$)"),
     ("quotes", "wiki", r"'{2,5}(?=\S)[^'\n]+(?:'[^'\n]+)*?'{2,5}"),
     ("pipes", "markdown", r"(?m:^)[ \t]*\|(?:[^|\n]*\|)+[ \t]*(?m:$)"),
-    ("rule", "markdown", r"(?m:^)[ \t]*\|?[ \t]*:?-{2,}:?[ \t]*(?:\|[ \t]*:?-{2,}:?[ \t]*)+\|?[ \t]*(?m:$)"),
     ("underline", "markdown", r"(?<=[^\s|>=-]\n)(?:={3,}|-{3,})[ \t]*(?m:$)"),
     ("path", "clean", r"\b[A-Za-z]:\\[\w\\.-]+"),
     ("url", "clean", r"(?:https?|ftp)://[^\s<>\"\])}|]+"),
@@ -289,4 +289,4 @@ def decoded(texts: DataFrame, key: str = "file_id", text: str = "text", method:
             yield pa.RecordBatch.from_arrays(arrays + ([pa.array(cleaned, pa.string())] if clean else []), names=[key, "markup"] + ([text] if clean else []))
 
     schema = f"`{key}` {texts.schema[key].dataType.simpleString()}, markup array<string>" + (f", `{text}` string" if clean else "")
-    return texts.select(key, text, method).mapInArrow(run, schema)
+    return in_batches(texts.select(key, text, method), run, schema)

@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.sources.tables import stored
+from lectern.sources.tables import in_batches, stored
 
 HOT = 0.01
 MAX_HOT = 200_000
@@ -144,7 +144,7 @@ def similar_pairs(sets: DataFrame, threshold: float, least_shared: int = 1, leas
             yield out()
 
     id_type = sets.schema["id"].dataType.simpleString()
-    signed = grouped.select("class", "side", "records", "h").mapInArrow(sign, f"class {id_type}, side int, records bigint, h array<bigint>, `group` int, sig bigint")
+    signed = in_batches(grouped.select("class", "side", "records", "h"), sign, f"class {id_type}, side int, records bigint, h array<bigint>, `group` int, sig bigint")
     signed = signed.withColumn("own", F.floor(F.log2(F.size("h"))).cast("int") == F.col("group"))
     a, b = signed.alias("a"), signed.where("own").alias("b")
     shared = F.size(F.array_intersect("a.h", "b.h"))

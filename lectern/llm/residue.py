@@ -80,7 +80,7 @@ def weak(sentence: str) -> int:
     if _FIELD.search(sentence):
         return PLACEHOLDER
     latin = len(_LATIN.findall(sentence))
-    if _FILLER.search(sentence) or (latin >= 3 and latin * 2 >= len(words)) or (len(words) >= 4 and len({w.lower() for w in words}) <= max(2, len(words) // 3)):
+    if _FILLER.search(sentence) or (latin >= 3 and latin * 2 >= len(words)) or (len(words) >= 4 and len({w.lower() for w in words}) <= max(2.0, 0.9 * len(words) ** 0.5)):
         return FILLER
     if _SCRIPT.search(sentence):
         return SCRIPT
@@ -104,7 +104,8 @@ def features(sentence: str, title: str = "") -> list[int]:
         prior = w
     names.add(f"b={prior} $")
     if low:
-        names.add(f"u={4 * len(set(low)) // len(low)}")
+        # distinct words grow about as the root of a text's length, unless it repeats itself
+        names.add(f"u={min(4, int(2 * len(set(low)) / len(low) ** 0.5))}")
     latin = len(_LATIN.findall(sentence))
     names.add(f"l={4 * latin // max(1, len(low))}")
     names.add(f"q={'“' in sentence or '"' in sentence}")
@@ -118,19 +119,21 @@ class Judge:
 
     def __init__(self, weights: np.ndarray) -> None:
         self.weights = weights
-        self.known: dict[tuple[str, str], int] = {}
+        self.known: dict[tuple[str, str, bool], int] = {}
 
     def __reduce__(self):
         return Judge, (self.weights.astype(np.float32),)
 
-    def kind(self, sentence: str, title: str = "") -> int:
+    def kind(self, sentence: str, title: str = "", residue: bool = False) -> int:
+        """The likeliest kind; with ``residue`` of those that aren't content."""
         # a title counts where it states something of its own; most titles only name their page
         title = title if _STATUS.search(title) or weak(title) >= 0 else ""
-        key = (sentence, title)
+        key = (sentence, title, residue)
         if key not in self.known:
             if len(self.known) > 200_000:
                 self.known.clear()
-            self.known[key] = int(self.weights[features(sentence, title)].sum(0).argmax())
+            scores = self.weights[features(sentence, title)].sum(0)
+            self.known[key] = int(scores[residue:].argmax()) + residue
         return self.known[key]
 
 
@@ -241,6 +244,9 @@ SEEDS = [
 
 
 _TAGS = re.compile(r"<[^<>]*>")
+#: Stands for the title of an answer that is quoted as a reason.
+_ANSWER = "Error"
+_PAGE = re.compile(r"(?i)\s*<(?:!doctype|html|head|body|title|noscript|h[1-6]|p|div)\b")
 _ENTRY = re.compile(r"(?s)^(\S*?://\S+?|<%.*?%>|\{\{.*?\}\}|[$#]?\{[^{}]*\}|[^\s:]{1,200}): (.+)$")
 
 
@@ -258,9 +264,11 @@ def entry_kind(judge: Judge, entry: str | None) -> str | None:
         return KINDS[PLACEHOLDER]
     # the text of a markup answer; a noscript element stays what it is
     text = clean(html.unescape(_TAGS.sub(" ", reason))) if "<" in reason and "<%" not in reason else reason
+    # what begins as a page is the text of one, never a reason
+    page = bool(_PAGE.match(reason))
     sizes: Counter[int] = Counter()
     for s in sentences(text):
-        sizes[judge.kind(s)] += len(s)
+        sizes[judge.kind(s, _ANSWER if page else "", page)] += len(s)
     plain = sizes.pop(CONTENT, 0)
     sizes.pop(ASIDE, None)
     # part of an answer, or a few words after it, may say nothing of themselves
@@ -271,7 +279,7 @@ def entry_kind(judge: Judge, entry: str | None) -> str | None:
 
 def entry_examples(entries: Iterable[str]) -> list[tuple[str, str, int]]:
     """Plain reasons as content, the rest by the labeller."""
-    out: dict[str, int] = {}
+    out: dict[tuple[str, str], int] = {}
     for e in entries:
         reason = entry_parts(e.strip())[1]
         text = clean(_TAGS.sub(" ", reason)) if "<" in reason and "<%" not in reason else reason
@@ -279,10 +287,11 @@ def entry_examples(entries: Iterable[str]) -> list[tuple[str, str, int]]:
         kinds = [weak(s) for s in parts]
         if "<" not in reason and len(parts) == 1 and _PLAIN.match(text) and kinds[0] not in {PLACEHOLDER, FILLER}:
             kinds = [CONTENT]
+        title = _ANSWER if _PAGE.match(reason) else ""
         for s, k in zip(parts, _spread(kinds, parts), strict=True):
-            if out.get(s, -1) < 0:
-                out[s] = k
-    return [(s, "", k) for s, k in out.items() if k >= 0]
+            if out.get((s, title), -1) < 0:
+                out[s, title] = k
+    return [(s, title, k) for (s, title), k in out.items() if k >= 0]
 
 
 def train_pages(pages: list[tuple[str, list[Block], str]], reader: Reader) -> Judge:
@@ -291,4 +300,4 @@ def train_pages(pages: list[tuple[str, list[Block], str]], reader: Reader) -> Ju
 
 
 def train_crawls(entries: list[str]) -> Judge:
-    return fit([*entry_examples(entries), *(s for s in SEEDS if not _PLAIN.match(s[0]) or s[2] in {PLACEHOLDER, FILLER})])
+    return fit([*entry_examples(entries), *((s, _ANSWER, k) for s, _, k in SEEDS), *(s for s in SEEDS if not _PLAIN.match(s[0]) or s[2] in {PLACEHOLDER, FILLER})])

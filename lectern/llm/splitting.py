@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.sources.tables import in_batches
+
 LIMIT, OVERLAP = 2400, 200
 #: Names of the strengths 0 to 4; white space inside a sentence isn't a boundary of its own class.
 NAMES = ("none", "none", "sentence", "line", "blank")
@@ -130,7 +132,7 @@ def split_items(df: DataFrame, key: str, text: str = "text", limit: int = LIMIT,
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(boundary, pa.string()), pa.array(pieces, kinds)], names=[key, "boundary", "pieces"])
 
     long = df.select(key, text).where(F.char_length(text) > limit)
-    return long.mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, boundary string, pieces array<struct<piece_no:int,start:bigint,text:string,ends_at:string>>")
+    return in_batches(long, run, f"`{key}` {df.schema[key].dataType.simpleString()}, boundary string, pieces array<struct<piece_no:int,start:bigint,text:string,ends_at:string>>")
 
 
 def pieces(df: DataFrame, key: str, keep: list[str], text: str = "text", limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:

@@ -27,6 +27,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from lectern.sources.tables import in_batches
+
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 #: Fixed value: the pre-tokenizer of the public byte_bpe_50k vocabulary, with white space spelled out.
@@ -177,7 +179,7 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", ids: str = "i
             offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=[key, ids])
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, `{ids}` array<int>")
+    return in_batches(df.select(key, text), run, f"`{key}` {df.schema[key].dataType.simpleString()}, `{ids}` array<int>")
 
 
 def token_counts(df: DataFrame, keep: list[str], text: str = "text", n: str = "n_tokens", path: str = DEFAULT_VOCABULARY) -> DataFrame:
@@ -190,4 +192,4 @@ def token_counts(df: DataFrame, keep: list[str], text: str = "text", n: str = "n
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(counts)], names=[*keep, n])
 
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
-    return df.select(*keep, text).mapInArrow(run, f"{schema}, `{n}` bigint")
+    return in_batches(df.select(*keep, text), run, f"{schema}, `{n}` bigint")
