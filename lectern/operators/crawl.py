@@ -121,13 +121,14 @@ def breadth_first(starts: DataFrame, links: DataFrame, depth: int = DEPTH, most:
     first link from the earliest page of the level above.
     """
     one = W.partitionBy("crawl").orderBy("page")
-    level = checkpoint(starts.select("crawl", "page").distinct().withColumn("place", F.row_number().over(one)).withColumn("depth", F.lit(0)))
+    level = checkpoint(starts.select("crawl", "page").distinct().withColumn("place", F.row_number().over(one)).where(F.col("place") <= most).withColumn("depth", F.lit(0)))
     seen = level
     for k in range(1, depth + 1):
         found = level.join(links.withColumnRenamed("source", "page"), ["crawl", "page"]).select("crawl", F.col("target").alias("page"), F.struct("place", "ordinal").alias("_o"))
         new = found.groupBy("crawl", "page").agg(F.min("_o").alias("_o")).join(seen.select("crawl", "page"), ["crawl", "page"], "left_anti")
         before = seen.groupBy("crawl").agg(F.max("place").alias("_b"))
-        place = F.row_number().over(W.partitionBy("crawl").orderBy("_o", "page")) + F.col("_b")
-        level = checkpoint(new.join(before, "crawl").select("crawl", "page", place.alias("place"), F.lit(k).alias("depth")).where(F.col("place") <= most))
+        # the cut is on the row number itself, so each task passes on no more than ``most`` rows of a crawl
+        new = new.withColumn("_n", F.row_number().over(W.partitionBy("crawl").orderBy("_o", "page"))).where(F.col("_n") <= most)
+        level = checkpoint(new.join(before, "crawl").select("crawl", "page", (F.col("_n") + F.col("_b")).alias("place"), F.lit(k).alias("depth")).where(F.col("place") <= most))
         seen = seen.unionByName(level)
     return seen.where(F.col("place") <= most).select("crawl", "page", "depth", F.col("place").cast("bigint").alias("place"))

@@ -20,17 +20,23 @@ def doc_facts(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 
 def run_report(docs: DataFrame, source: str, path: str, text: str = "text", ocr: str = "pages_needing_ocr") -> DataFrame:
-    """One row per source: documents, characters, tokens, failures, needs_visual_reading (array of path and pages, in order)."""
+    """One row per source: documents, characters, estimated_tokens, failures, visual (documents with pages to look at)."""
     outcome = read_outcome(F.col(text), F.col(ocr))
     t = F.when(outcome == "read", T.sanitize(F.col(text)))
-    rows = docs.select(F.col(source).alias("source"), outcome.alias("o"), F.char_length(t).alias("n"), T.estimate_tokens(t).alias("k"), F.col(path).alias("p"), F.col(ocr).alias("pages"))
-    look = F.collect_list(F.when(F.coalesce(F.size("pages"), F.lit(0)) > 0, F.struct(F.col("p").alias("path"), "pages")))
+    rows = docs.select(F.col(source).alias("source"), outcome.alias("o"), F.char_length(t).alias("n"), T.estimate_tokens(t).alias("k"), F.col(path).alias("p"), (F.coalesce(F.size(ocr), F.lit(0)) > 0).alias("look"))
+    # exact copies of a row count once; what is compared are facts, not texts
+    rows = rows.dropDuplicates(["source", "p"])
     return rows.groupBy("source").agg(
         F.count_if(F.col("o") != "failed").alias("documents"), F.coalesce(F.sum("n"), F.lit(0)).alias("characters"), F.coalesce(F.sum("k"), F.lit(0)).alias("estimated_tokens"),
-        F.count_if(F.col("o") == "failed").alias("failures"), F.array_sort(look).alias("needs_visual_reading"),
+        F.count_if(F.col("o") == "failed").alias("failures"), F.count_if("look").alias("visual"),
     )
 
 
+def visual_requests(docs: DataFrame, path: str, pages: str = "pages_needing_ocr") -> DataFrame:
+    """(path, pages): what has to be looked at, because it has no text to read."""
+    return docs.where(F.coalesce(F.size(pages), F.lit(0)) > 0).select(F.col(path).alias("path"), F.array_join(pages, ",").alias("pages")).distinct()
+
+
 def as_json(report: DataFrame, key: str = "source") -> DataFrame:
     """(key, report) as one JSON object per row."""
     return report.select(key, F.to_json(F.struct(*report.columns)).alias("report"))

@@ -161,9 +161,10 @@ def empty_reference(refs: DataFrame) -> DataFrame:
 
 
 def duplicate_name(skills: DataFrame) -> DataFrame:
-    """(name, paths): names that more than one skill goes by."""
+    """(name, path): the skills of names that more than one skill goes by, one row each, however many share one."""
     named = skills.select(effective_name(F.col("name"), F.col("dir_name")).alias("name"), "path")
-    return named.groupBy("name").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("path")), ", ").alias("paths")).where("n > 1").drop("n")
+    twice = named.groupBy("name").agg(F.count("*").alias("n")).where("n > 1")
+    return named.join(twice, "name", "left_semi")
 
 
 def trigger_overlap(skills: DataFrame) -> DataFrame:
@@ -206,7 +207,7 @@ def audit(skills: DataFrame, refs: DataFrame, budget: int = BODY_BUDGET) -> Data
 def tree_findings(skills: DataFrame) -> DataFrame:
     """Findings between skills: (rule, severity, subject)."""
     skills = one_per_key(skills, "skill_id")
-    twice = duplicate_name(skills).select(F.lit("duplicate-name").alias("rule"), F.lit("error").alias("severity"), F.col("name").alias("subject"))
+    twice = duplicate_name(skills).select("name").distinct().select(F.lit("duplicate-name").alias("rule"), F.lit("error").alias("severity"), F.col("name").alias("subject"))
     overlap = trigger_overlap(skills).select(F.lit("trigger-overlap").alias("rule"), F.lit("warning").alias("severity"), F.concat_ws(",", "skill_a", "skill_b").alias("subject"))
     return twice.unionByName(overlap)
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import urls as U
 from lectern.functions.text import trim
+from lectern.sources.tables import numbered
 
 #: Extensions by the way they are read.
 ROUTES = {
@@ -67,14 +68,14 @@ def download_extension(content_type: Column, url: Column) -> Column:
 
 
 def download_names(df: DataFrame, key: str, url: str = "url", content_type: str = "content_type") -> DataFrame:
-    """(key, name): the last part of the url made safe, numbered from the second of a name on."""
+    """(key, name): the last part of the url made safe, numbered from the second of a name on in the order of the integer key."""
     u, ext = U.parse(F.col(url)), download_extension(F.col(content_type), F.col(url))
     safe = F.regexp_replace(F.regexp_replace(U.last_segment(u), "[^A-Za-z0-9._-]", "_"), "^_+|_+$", "")
     named = df.select(key, F.when(safe == "", "download").otherwise(safe).alias("_s"), ext.alias("_e"))
     dotted = F.concat(F.lit("."), F.col("_e"))
     stem = F.when(F.endswith(F.lower("_s"), dotted), F.left("_s", F.char_length("_s") - F.char_length(dotted))).otherwise(F.col("_s"))
-    n = F.row_number().over(W.partitionBy("_stem", "_e").orderBy(key))
-    return named.withColumn("_stem", stem).select(key, F.concat("_stem", F.when(n > 1, F.concat(F.lit("-"), n.cast("string"))).otherwise(""), dotted).alias("name"))
+    placed = numbered(named.withColumn("_stem", stem), ["_stem", "_e"], key, "_place")
+    return placed.select(key, F.concat("_stem", F.when(F.col("_place") > 1, F.concat(F.lit("-"), F.col("_place").cast("string"))).otherwise(""), dotted).alias("name"))
 
 
 def _strip_git(c: Column) -> Column:
@@ -184,9 +185,10 @@ def repo_select(files: DataFrame, key: str, path: str, size: Column | None = Non
         keep = keep & ~reduce(Column.__or__, [glob_matches(p, g) for g in exclude])
     wanted = reduce(Column.__or__, [glob_matches(p, g) for g in include]) if include else path_extension(p).isin(*DOC_EXTENSIONS)
     ranked = files.where(keep & F.coalesce(wanted, F.lit(False))).select(key, path).distinct().withColumn("rank", reading_rank(p))
-    order = W.partitionBy(key).orderBy("rank", path)
-    placed = ranked.withColumn("place", F.row_number().over(order)).withColumn("_all", F.count("*").over(W.partitionBy(key)))
-    return placed.where(F.col("place") <= most).select(key, path, "rank", F.col("place").cast("bigint").alias("place"), F.greatest(F.col("_all") - most, F.lit(0)).alias("dropped"))
+    # the cut is on the row number itself, so each task passes on no more than ``most`` rows of a checkout
+    placed = ranked.withColumn("place", F.row_number().over(W.partitionBy(key).orderBy("rank", path))).where(F.col("place") <= most)
+    counts = ranked.groupBy(key).agg(F.count("*").alias("_all"))
+    return placed.join(counts, key).select(key, path, "rank", F.col("place").cast("bigint").alias("place"), F.greatest(F.col("_all") - most, F.lit(0)).alias("dropped"))
 
 
 def read_outcome(text: Column, ocr_pages: Column) -> Column:
@@ -195,9 +197,15 @@ def read_outcome(text: Column, ocr_pages: Column) -> Column:
     return F.when(~blank, "read").when(F.coalesce(F.size(ocr_pages), F.lit(0)) > 0, "visual").otherwise("failed")
 
 
-def combined_text(docs: DataFrame, group: str, ordinal: str, label: Column, is_file: Column, text: str = "text") -> DataFrame:
-    """(group, text) of a bounded group's documents in order, files under a heading where there are several."""
-    kept = docs.where(trim(F.coalesce(text, F.lit(""))) != "").select(group, F.struct(F.col(ordinal).alias("o"), label.alias("label"), is_file.alias("file"), F.col(text).alias("text")).alias("_d"))
-    rows = kept.groupBy(group).agg(F.array_sort(F.collect_list("_d")).alias("_l"))
-    many = F.size("_l") > 1
-    return rows.select(group, F.array_join(F.transform("_l", lambda x: F.when(many & x["file"], F.concat(F.lit("# "), x["label"], F.lit("\n\n"), x["text"])).otherwise(x["text"])), "\n\n").alias("text"))
+def combined_text(docs: DataFrame, group: str, key: str, label: Column, is_file: Column, text: str = "text") -> DataFrame:
+    """(group, key, part): what each document adds to its group's combined text, files under a heading where a group has several.
+
+    Parts in the order of the key, two line ends between them, are the combined
+    text; it is written as such by sorting within the group's partitions, and never held whole.
+    """
+    kept = docs.where(trim(F.coalesce(text, F.lit(""))) != "").select(group, key, label.alias("_label"), is_file.alias("_file"), text)
+    counts = kept.groupBy(group).agg(F.count("*").alias("_n"))
+    headed = F.when((F.col("_n") > 1) & F.col("_file"), F.concat(F.lit("# "), "_label", F.lit("\n\n"), text)).otherwise(F.col(text))
+    # eqNullSafe: documents without a group are a group
+    rows = kept.join(counts.withColumnRenamed(group, "_g"), F.col(group).eqNullSafe(F.col("_g")))
+    return rows.select(group, key, headed.alias("part"))

@@ -124,32 +124,40 @@ def failures_split(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add(
     f"""WITH k AS (SELECT source, doc_id, path, method, text, count(*) OVER (PARTITION BY source) AS n FROM documents WHERE {_BARE.format("coalesce(text, '')")} <> '')
-    SELECT source, md5(string_agg(CASE WHEN n > 1 AND method <> 'web-page' THEN '# ' || path || chr(10) || chr(10) || text ELSE text END, chr(10) || chr(10) ORDER BY doc_id)) AS text FROM k GROUP BY source"""
+    SELECT source, doc_id, md5(CASE WHEN n > 1 AND method <> 'web-page' THEN '# ' || path || chr(10) || chr(10) || text ELSE text END) AS part FROM k"""
 )
 def combined_text(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    return S.combined_text(docs, "source", "doc_id", F.col("path"), F.coalesce(F.col("method") != "web-page", F.lit(False))).select("source", F.md5("text").alias("text"))
+    return S.combined_text(docs, "source", "doc_id", F.col("path"), F.coalesce(F.col("method") != "web-page", F.lit(False))).select("source", "doc_id", F.md5("part").alias("part"))
 
 
 # reports
 
 
+def _extracted(spark: SparkSession, d: str) -> DataFrame:
+    """The files with their sources, copies of rows included."""
+    e = table(spark, d, "extractions").select("file_id", "text", "pages_needing_ocr")
+    return e.join(_reports(spark, d).select("file_id", F.coalesce("origin", F.lit("(local)")).alias("source")), "file_id")
+
+
 @R.add(
     f"""WITH {_F}, e AS (SELECT DISTINCT ON (file_id) * FROM extractions), j AS (SELECT coalesce(origin, '(local)') AS source, regexp_replace(text, '[<INVISIBLE>]', '', 'g') AS t, {_BARE.format("coalesce(text, '')")} <> '' AS ok, coalesce(len(e.pages_needing_ocr), 0) > 0 AS look FROM e JOIN f USING (file_id))
     SELECT source, count(*) FILTER (ok OR look) AS documents, CAST(coalesce(sum(length(t)) FILTER (ok), 0) AS BIGINT) AS characters, CAST(coalesce(sum({_TOKENS.format('t')}) FILTER (ok), 0) AS BIGINT) AS estimated_tokens, count(*) FILTER (NOT ok AND NOT look) AS failures, count(*) FILTER (look) AS visual FROM j GROUP BY source"""
 )
 def run_report(spark: SparkSession, d: str) -> DataFrame:
-    e = one_per_key(table(spark, d, "extractions").select("file_id", "text", "pages_needing_ocr"), "file_id")
-    docs = e.join(_reports(spark, d).select("file_id", "path", F.coalesce("origin", F.lit("(local)")).alias("source")), "file_id")
-    return P.run_report(docs, "source", "path").withColumn("visual", F.size("needs_visual_reading").cast("bigint")).drop("needs_visual_reading")
+    return P.run_report(_extracted(spark, d), "source", "file_id")
 
 
 @R.add()
 def run_report_json(spark: SparkSession, d: str) -> DataFrame:
     """The report as JSON, one object per source; the figures are those of run_report."""
-    e = one_per_key(table(spark, d, "extractions").select("file_id", "text", "pages_needing_ocr"), "file_id")
-    docs = e.join(_reports(spark, d).select("file_id", "path", F.coalesce("origin", F.lit("(local)")).alias("source")), "file_id")
-    return P.as_json(P.run_report(docs, "source", "path"))
+    return P.as_json(P.run_report(_extracted(spark, d), "source", "file_id"))
+
+
+@R.add(f"WITH {_F} SELECT DISTINCT f.path, array_to_string(e.pages_needing_ocr, ',') AS pages FROM extractions e JOIN f USING (file_id) WHERE len(e.pages_needing_ocr) > 0")
+def visual_reading(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "extractions").select("file_id", "pages_needing_ocr")
+    return P.visual_requests(pages.join(_reports(spark, d).select("file_id", "path"), "file_id"), "path")
 
 
 @R.add()
@@ -213,9 +221,8 @@ def outside_prefix(spark: SparkSession, d: str) -> DataFrame:
     """WITH f AS (SELECT DISTINCT crawl_id, url FROM fetched) SELECT crawl_id, 'map' AS kind, url AS seed FROM f UNION ALL SELECT crawl_id, 'index', url FROM f WHERE NOT contains(url, ')')"""
 )
 def seeds(spark: SparkSession, d: str) -> DataFrame:
-    """A sitemap and a Markdown index made of each crawl's pages, and read again."""
-    f = table(spark, d, "fetched").select("crawl_id", "url").distinct()
-    site = f.groupBy("crawl_id").agg(F.collect_list("url").alias("u"))
+    """A sitemap and a Markdown index for each page, and read again."""
+    site = table(spark, d, "fetched").select("crawl_id", "url").distinct().withColumn("u", F.array("url"))
     xml = F.concat(F.lit("<urlset>"), F.array_join(F.transform("u", lambda x: F.concat(F.lit("<url><loc> \n"), x, F.lit("\n</LOC></url>"))), ""), F.lit("</urlset>"))
     index = F.array_join(F.transform("u", lambda x: F.concat(F.lit("- [page]("), x, F.lit(")"))), "\n")
     both = site.select("crawl_id", F.explode(F.array(F.struct(F.lit("map").alias("kind"), W.seeds_of_sitemap(xml).alias("s")), F.struct(F.lit("index").alias("kind"), W.seeds_of_index(index).alias("s")))).alias("k"))

@@ -143,10 +143,10 @@ _rule("r11_no_progressive_disclosure", lambda s, r: S.no_progressive_disclosure(
 _rule("r12_empty_reference", lambda s, r: S.empty_reference(r))
 
 
-_TWICE = f"d AS (SELECT {_NAME} AS name, string_agg(path, ', ' ORDER BY path) AS paths FROM s GROUP BY 1 HAVING count(*) > 1)"
+_TWICE = f"d AS (SELECT {_NAME} AS name FROM s GROUP BY 1 HAVING count(*) > 1)"
 
 
-@R.add(f"WITH {_S}, {_TWICE} SELECT name, paths FROM d")
+@R.add(f"WITH {_S}, {_TWICE} SELECT d.name, path FROM d JOIN s ON {_NAME.replace('name,', 's.name,')} = d.name")
 def rule_r13_duplicate_name(spark: SparkSession, d: str) -> DataFrame:
     return S.duplicate_name(_skills(spark, d))
 

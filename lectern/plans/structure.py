@@ -93,10 +93,8 @@ _EST = _TOKENS.format("{0}")
 
 @R.add()
 def chunk_pack(spark: SparkSession, d: str) -> DataFrame:
-    """All documents of a source as one text, in order, packed; tested against a fold in plain Python and its invariants."""
-    docs = table(spark, d, "documents").where("text is not null and source is not null")
-    texts = docs.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]), "\n\n").alias("text"))
-    return K.chunk_rows(texts, "source", most=BUDGET).select("source", "part_no", F.md5("title").alias("title"), "origin", F.md5("text").alias("text"), estimate_tokens(F.col("text")).alias("tokens"))
+    """The sections of each document, packed; the packing is tested against its invariants, as its fold has no counterpart in SQL."""
+    return K.chunk_rows(table(spark, d, "documents"), "doc_id", most=BUDGET).select("doc_id", "part_no", F.md5("title").alias("title"), "origin", F.md5("text").alias("text"), estimate_tokens(F.col("text")).alias("tokens"))
 
 
 _PURPOSE = ", ".join(f"('{p}', {n})" for p, n in K.PURPOSES.items())

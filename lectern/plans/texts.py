@@ -45,11 +45,11 @@ def fingerprint(spark: SparkSession, d: str) -> DataFrame:
 )
 def report_facts_hold(spark: SparkSession, d: str) -> DataFrame:
     """The stored hash, length and token estimate of each file, computed again from its text; hashes and lengths are to hold throughout."""
-    e = one_per_key(table(spark, d, "extractions").select("file_id", "text"), "file_id").where("text is not null")
+    e = table(spark, d, "extractions").select("file_id", "text").where("text is not null")
     r = one_per_key(table(spark, d, "file_reports").select("file_id", "content_hash", "characters", "estimated_tokens"), "file_id")
     clean = e.select("file_id", T.sanitize(F.col("text")).alias("t"))
     facts = clean.select("file_id", T.fingerprint("t").alias("h"), F.char_length("t").alias("n"), T.estimate_tokens(F.col("t")).alias("k"))
-    j = facts.join(r, "file_id")
+    j = one_per_key(facts, "file_id").join(r, "file_id")
     return j.agg(F.count("*").alias("files"), F.count_if(F.col("h") == F.col("content_hash")).alias("same_hash"), F.count_if(F.col("n") == F.col("characters")).alias("same_characters"), F.count_if(F.col("k") == F.col("estimated_tokens")).alias("same_tokens"))
 
 

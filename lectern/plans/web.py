@@ -67,8 +67,11 @@ def html_links(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
-    """HTML answers as text: declared as HTML, or undeclared with the address of a page."""
-    f = one_per_key(table(spark, d, "fetched"), "fetch_id")
+    """HTML answers as text, repeated rows included: declared as HTML, or undeclared with the address of a page.
+
+    Copies are dropped from what is made of them, so that whole pages aren't shuffled.
+    """
+    f = table(spark, d, "fetched")
     ext = U.extension(U.parse(F.col("url")))
     kind = F.lower("content_type")
     page = F.when(kind.isNotNull(), F.contains(kind, F.lit("html"))).otherwise(ext.isNull() | ext.isin("html", "htm", "xhtml"))
@@ -78,27 +81,27 @@ def _pages(spark: SparkSession, d: str) -> DataFrame:
 @R.add()
 def html_title(spark: SparkSession, d: str) -> DataFrame:
     """Over bytes that aren't all UTF-8, which the SQL engine can't decode; tested against the Python model."""
-    return _pages(spark, d).select("fetch_id", H.title(F.col("html")).alias("title"))
+    return _pages(spark, d).select("fetch_id", H.title(F.col("html")).alias("title")).distinct()
 
 
 @R.add()
 def html_main_content(spark: SparkSession, d: str) -> DataFrame:
     """Balanced elements aren't regular; tested against page fixtures."""
-    return _pages(spark, d).select("fetch_id", H.main_content("html").alias("text"))
+    return one_per_key(_pages(spark, d).select("fetch_id", H.main_content("html").alias("text")), "fetch_id")
 
 
 @R.add()
 def page_text(spark: SparkSession, d: str) -> DataFrame:
     pages = _pages(spark, d).select("fetch_id", "url", H.title(F.col("html")).alias("title"), H.main_content("html").alias("body"))
-    return pages.select("fetch_id", T.page_header(F.col("title"), F.col("url"), F.col("body")).alias("text"))
+    return one_per_key(pages.select("fetch_id", T.page_header(F.col("title"), F.col("url"), F.col("body")).alias("text")), "fetch_id")
 
 
 @R.add()
 def run_report_by_host(spark: SparkSession, d: str) -> DataFrame:
     """The flagship: what a crawl read, by host: pages, characters, tokens, invisible code points, distinct texts; the ten largest."""
-    pages = _pages(spark, d).select(U.parse(F.col("url"))["host"].alias("host"), H.strip(F.col("html")).alias("t"))
-    facts = pages.select("host", T.sanitize(F.col("t")).alias("clean"), T.invisible_count(F.col("t")).alias("removed"))
-    facts = facts.select("host", "removed", F.char_length("clean").alias("n"), T.estimate_tokens(F.col("clean")).alias("k"), F.xxhash64("clean").alias("h"))
+    pages = _pages(spark, d).select("fetch_id", U.parse(F.col("url"))["host"].alias("host"), H.strip(F.col("html")).alias("t"))
+    facts = pages.select("fetch_id", "host", T.sanitize(F.col("t")).alias("clean"), T.invisible_count(F.col("t")).alias("removed"))
+    facts = one_per_key(facts.select("fetch_id", "host", "removed", F.char_length("clean").alias("n"), T.estimate_tokens(F.col("clean")).alias("k"), F.xxhash64("clean").alias("h")), "fetch_id")
     by = facts.groupBy("host").agg(F.count("*").alias("pages"), F.sum("n").alias("characters"), F.sum("k").alias("tokens"), F.sum("removed").alias("removed"), F.count_distinct("h").alias("texts"))
     return by.orderBy(F.col("tokens").desc(), "host").limit(10)
 

@@ -59,6 +59,22 @@ def one_per_key(df: DataFrame, key: str) -> DataFrame:
     return df.dropDuplicates([key])
 
 
+def numbered(df: DataFrame, group: list[str], key: str, name: str, shift: int = 12) -> DataFrame:
+    """Numbers the rows of each group from 1 in the order of an integer key, without a task ever holding a whole group.
+
+    Ranges of ``2 ** shift`` keys are counted first; a row's number is what its
+    group has in the ranges before, and its place in its own range.  Only one row per group and
+    range is in the window over the ranges.
+    """
+    ranged = df.withColumn("_range", F.shiftright(F.col(key), shift))
+    counts = ranged.groupBy(*group, "_range").agg(F.count("*").alias("_n"))
+    before = W.partitionBy(*group).orderBy("_range")
+    counts = counts.select(*group, "_range", (F.sum("_n").over(before) - F.col("_n")).alias("_before"))
+    own = F.row_number().over(W.partitionBy(*group, "_range").orderBy(key))
+    placed = ranged.withColumn("_own", own).join(counts, [*group, "_range"])
+    return placed.withColumn(name, F.col("_before") + F.col("_own")).drop("_range", "_before", "_own")
+
+
 def latest(df: DataFrame, key: str, by: str) -> DataFrame:
     """The row of each key that came last; ties by the whole row, nulls first."""
     order = [F.col(by).desc_nulls_last(), F.xxhash64(*df.columns)]
@@ -71,6 +87,9 @@ def stored(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
     folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lectern-")
     path = f"{folder.rstrip('/')}/lectern-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    # gone when the application ends
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 

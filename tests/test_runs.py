@@ -124,6 +124,16 @@ def test_refresh_stream(spark, tmp_path):
     assert sorted((r["key"], r["change"]) for r in moved) == [("b", "changed"), ("c", "added")]
 
 
+def test_numbered(spark):
+    rows = [(k, "hot" if k % 3 else f"g{k % 2}") for k in range(0, 40_000, 7)] + [(-5, "hot"), (-4000, "hot")]
+    got = tables.numbered(spark.createDataFrame(rows, "k bigint, g string"), ["g"], "k", "n").collect()
+    seen = {}
+    for k, g in sorted(rows):
+        seen[g] = seen.get(g, 0) + 1
+        rows[rows.index((k, g))] = (k, g, seen[g])
+    assert sorted((r["k"], r["g"], r["n"]) for r in got) == sorted(rows)
+
+
 def test_sample_is_bounded(spark):
     df = spark.range(5000).withColumnRenamed("id", "k")
     a = [r["k"] for r in tables.bounded_sample(df, "k", 100)]
