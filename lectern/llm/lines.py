@@ -10,8 +10,9 @@ signature only.  A file contributes each form once.  Lines are read, normalised
 and signed in Arrow batches; what is shuffled is hashes, never text.
 
 Skew: the aggregations are keyed by (source, form) and (source, band), with
-partial sums before the shuffle, so neither a source nor a line that stands in
-every file of a source gathers in one task.
+partial sums before the shuffle, and bands that hold very many forms are salted, so
+neither a source nor a line that stands in every file of a source gathers in one
+task.
 
 Results: null and empty text have no lines; a file without a known source
 has none either; repeated rows of a file count once; of several sources given
@@ -38,6 +39,8 @@ SHINGLE = 5
 HASHES, BANDS, ROWS = 8, 3, 2
 #: Min-hashes that must agree with the cluster's representative: at a Jaccard of 0.8 six of eight are likelier than not.
 AGREE = 6
+#: A band of more than so many forms, as a sample shows, is dealt out to several tasks.
+HOT_FORMS, HOT_SAMPLE, MOST_HOT, SALTS = 200_000, 0.01, 1000, 64
 
 _DIGITS, _SPACE = re.compile(r"\d+"), re.compile(r"[^\S\n]+")
 
@@ -167,11 +170,22 @@ def repeated_lines(texts: DataFrame, sources: DataFrame, key: str = "file_id", t
     counted = stored(lines.groupBy("form").agg(F.sum("fresh").alias("form_files"), F.min("source").alias("source"), F.min("s0").alias("s0"), F.min("s1").alias("s1")))
     pair = [F.col("s0").bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned("s0", 32), F.col("s1").bitwiseAND(0xFFFFFFFF)]
     bands = F.array(*[F.xxhash64("source", F.lit(b), p) for b, p in enumerate(pair)])
+    in_band = counted.select("form", "form_files", F.explode(bands).alias("band"))
+    # a sample tells which bands hold very many forms; these alone are dealt out to several tasks, and nothing is left out
+    hot = in_band.sample(HOT_SAMPLE, 7).groupBy("band").count().where(F.col("count") > int(HOT_FORMS * HOT_SAMPLE)).select("band").limit(MOST_HOT)
+    hot = [r[0] for r in hot.collect()]
+    salt = F.when(F.col("band").isin(hot), F.pmod("form", F.lit(SALTS))).otherwise(0) if hot else F.lit(0)
     # one shuffle by band serves both the sums and the join with them
-    in_band = counted.select("form", "form_files", F.explode(bands).alias("band")).repartition("band")
+    in_band = in_band.withColumn("salt", salt.cast("int")).repartition("band", "salt")
+    best = (F.sum("n").alias("n"), F.max("top").alias("top"), F.max_by("lead", F.struct("top", "lead")).alias("lead"))
+    part = in_band.select("band", "salt", F.col("form_files").alias("n"), F.col("form_files").alias("top"), F.col("form").alias("lead")).groupBy("band", "salt").agg(*best)
     # a band with too few lines makes no frequent cluster; its strongest form stands for the rest
-    strong = in_band.groupBy("band").agg(F.sum("form_files").alias("n"), F.max("form_files").alias("top"), F.max_by("form", F.struct("form_files", "form")).alias("lead")).where(F.col("n") >= min_files)
-    met = in_band.join(strong.select("band", "lead", "top"), "band")
+    strong = part.where(F.col("n") >= min_files)
+    if hot:
+        whole = part.where(F.col("band").isin(hot)).groupBy("band").agg(*best).where(F.col("n") >= min_files)
+        dealt = whole.select("band", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), "n", "top", "lead")
+        strong = strong.where(~F.col("band").isin(hot)).unionByName(dealt)
+    met = in_band.join(strong.select("band", "salt", "lead", "top"), ["band", "salt"])
     pick = met.groupBy("form").agg(F.max(F.struct("top", "lead")).getField("lead").alias("lead"))
     signed = counted.select("form", "form_files", "s0", "s1")
     lead = signed.select(F.col("form").alias("lead"), F.col("s0").alias("t0"), F.col("s1").alias("t1"))

@@ -10,8 +10,9 @@ whatever the size of the corpus; documents find their place in it by their
 position within their source.
 
 That position is a running sum in a fixed pseudo-random order (hash of the key),
-computed in two levels: totals of ``2 ** bits`` hash ranges per source, then a
-window within one range.  No task ever holds a whole source.
+computed in two levels: totals of ``2 ** bits`` hash ranges per source, their number
+growing with the documents, then a window within one range.  No task ever holds
+a whole source.
 
 Results: a source with too few tokens is used ``max_repeats`` times in full and
 then ends (its slots stay empty, the other shares are not blown up); a document
@@ -34,8 +35,8 @@ from pyspark.sql import functions as F
 
 #: Blocks in the whole mix; the size of the schedule, whatever the corpus.
 SLOTS = 4096
-#: log2 of the hash ranges per source.
-RANGE_BITS = 10
+#: log2 of the hash ranges per source, at least and at most; in between there are about 65,000 documents to a range.
+RANGE_BITS, MOST_BITS = 10, 20
 
 
 def pfair_schedule(weights: dict[str, float], slots: int) -> list[tuple[int, str, int]]:
@@ -92,15 +93,17 @@ def positions(sized: DataFrame, key: str = "doc_id", bits: int = RANGE_BITS) ->
     return running.join(totals, ["source", "_range"]).withColumn("start", F.col("_before") + F.col("_within")).drop("_h", "_range", "_before", "_within")
 
 
-def mix(sized: DataFrame, targets: DataFrame, total: int | None = None, slots: int = SLOTS, key: str = "doc_id", bits: int = RANGE_BITS) -> DataFrame:
+def mix(sized: DataFrame, targets: DataFrame, total: int | None = None, slots: int = SLOTS, key: str = "doc_id", bits: int | None = None) -> DataFrame:
     """One row per use of a document: slot, source, block, copy, key, n_tokens, offset (within the source's share).
 
     ``sized`` has key, source and n_tokens.  Read the rows by (slot, offset) for the mix.
     """
     spark = sized.sparkSession
     goal = target_table(targets)
-    if total is None:
-        total = sized.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
+    tokens, documents = sized.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.count("*")).first()
+    total = tokens if total is None else total
+    if bits is None:
+        bits = min(MOST_BITS, max(RANGE_BITS, (documents >> 16).bit_length()))
     size = max(1, math.ceil(total / slots))
     plan = spark.createDataFrame([(s, share, share * total, n) for s, share, n in goal], "source string, share double, quota double, max_repeats int")
     listed = sized.select(F.col(key), "source", "n_tokens").join(F.broadcast(plan), "source")

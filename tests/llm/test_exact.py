@@ -235,7 +235,7 @@ def test_line_forms():
     assert [(n, f) for n, f, _ in lines.forms(text)] == [(2, "share this page 0 with a friend"), (6, "by jane doe · 0 min read")]
 
 
-def test_repeated_lines(spark):
+def test_repeated_lines(spark, monkeypatch):
     notice = "All rights reserved, {} words of it."
     texts, sources = [], []
     for i in range(40):
@@ -265,3 +265,7 @@ def test_repeated_lines(spark):
     clean = dict(lines.without_lines(t.dropDuplicates(["file_id"]), spark.createDataFrame(rows)).collect())
     assert clean[90] is None and clean[91] == "" and clean[7] == "own line number ha of this very file"
     assert lines.repeated_lines(t.limit(0), s).count() == 0
+    # bands dealt out to several tasks give the same clusters
+    monkeypatch.setattr(lines, "HOT_FORMS", 0)
+    monkeypatch.setattr(lines, "HOT_SAMPLE", 1.0)
+    assert sorted(map(tuple, lines.repeated_lines(t, s).collect())) == sorted(map(tuple, rows))
