@@ -1,4 +1,4 @@
-"""Command line: lectern extract | audit | plan | sources | formats | refresh | serve | query."""
+"""Command line: lectern extract | audit | plan | build | sources | formats | check | refresh | serve | query."""
 
 from __future__ import annotations
 
@@ -28,6 +28,11 @@ def parser() -> argparse.ArgumentParser:
     plan = sub.add_parser("plan", help="the chunks of a build and their tokens")
     plan.add_argument("table", help="a table written by extract")
     plan.add_argument("--most", type=int, default=20_000)
+    build = sub.add_parser("build", help="write a skill from a table written by extract; without a model of your own, the stub answers")
+    build.add_argument("table")
+    build.add_argument("--out", required=True, help="folder of the skill")
+    build.add_argument("--purpose", default="working-guide", choices=["reference", "working-guide", "deep-study"])
+    sub.add_parser("check", help="programs that add to what can be read")
     names = sub.add_parser("sources", help="what source strings name")
     names.add_argument("source", nargs="+")
     sub.add_parser("formats", help="extensions that can be read")
@@ -49,9 +54,17 @@ def main(argv: list[str] | None = None) -> int:
 
         print("\n".join(formats()))
         return 0
+    if a.command == "check":
+        from lectern.sources.remote import tools
+
+        for name, path in tools():
+            print(f"{name}: {path or 'not found'}")
+        return 0
     from lectern import api
 
     spark = session()
+    from pyspark.sql.functions import concat_ws, format_string, lit
+
     if a.command == "extract":
         api.extract(spark, a.source, a.glob).write.mode("overwrite").parquet(a.out)
         done = spark.read.parquet(a.out)
@@ -68,6 +81,18 @@ def main(argv: list[str] | None = None) -> int:
     if a.command == "plan":
         api.plan(spark.read.parquet(a.table).where("text IS NOT NULL"), most=a.most).drop("text").show(200, truncate=80)
         return 0
+    if a.command == "build":
+        from lectern.operators.chunking import files_of
+        from lectern.sources.locks import write_files
+
+        docs = spark.read.parquet(a.table).where("text IS NOT NULL")
+        # one skill from all of the table: notes are bounded by the purpose, chunks by what a model takes
+        chunks = api.plan(docs).withColumn("skill", lit("skill"))
+        answer = api.build(chunks.withColumnRenamed("part_no", "_part").withColumn("part_no", concat_ws("/", "path", format_string("%06d", "_part"))), "skill", a.purpose).first()
+        files, error = files_of((answer["reply"] if answer else "") or "")
+        write_files(a.out, files if error is None else [("SKILL.md", (answer["reply"] if answer else "") or "")])
+        print("\n".join(p for p, _ in files) if error is None else "SKILL.md")
+        return 0
     if a.command == "sources":
         here = {s.strip() for s in a.source if os.path.exists(os.path.expanduser(s.strip()))}
         api.classify(spark, a.source, here).show(200, truncate=False)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,21 +34,27 @@ def _url(scheme: Column, host: Column, port: Column, path: Column, query: Column
     return F.named_struct(*[x for name, c in parts.items() for x in (F.lit(name), c)])
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that stands in the plan once, however often the body names it; without it nested URL functions grow beyond bounds."""
+    return F.transform(F.array(value), body)[0]
+
+
 def parse(raw: Column) -> Column:
     """struct(scheme, host, port, path, query) of an absolute http(s) URL; the fragment is dropped, an IPv6 host keeps its brackets."""
-    raw = trim(raw)
+    return let(trim(raw), lambda r: let(F.regexp_replace(F.regexp_extract(r, r"^(?s).*?://([^/?#]*)", 1), "^.*@", ""), lambda a: _parsed(r, a)))
+
+
+def _parsed(raw: Column, authority: Column) -> Column:
     scheme = F.lower(F.regexp_extract(raw, r"^(?s)(.*?)://", 1))
-    authority = F.regexp_replace(F.regexp_extract(raw, r"^(?s).*?://([^/?#]*)", 1), "^.*@", "")
-    tail = F.regexp_extract(raw, r"^(?s).*?://[^/?#]*([^#]*)", 1)
-    path = F.regexp_extract(tail, r"^(?s)([^?]*)", 1)
-    query = F.regexp_extract(tail, r"^(?s)[^?]*\?(.+)$", 1)
+    path = F.regexp_extract(raw, r"^(?s).*?://[^/?#]*([^?#]*)", 1)
+    query = F.regexp_extract(raw, r"^(?s).*?://[^?#]*\?([^#]+)", 1)
     bracketed = authority.startswith("[")
     port = F.when(bracketed, F.regexp_extract(authority, r"\]:(.*)$", 1)).otherwise(F.regexp_extract(authority, r":([^:]*)$", 1))
     has_port = F.when(bracketed, authority.rlike(r"\]:")).otherwise(F.contains(authority, F.lit(":")))
     host = F.when(bracketed, F.regexp_extract(authority, r"^(\[[^\]]*\])", 1)).otherwise(F.regexp_replace(authority, r":[^:]*$", ""))
     number = port.try_cast("int")
     good = scheme.isin("http", "https") & (authority != "") & (~bracketed | F.contains(authority, F.lit("]"))) & (~has_port | (port.rlike(r"^\d{1,5}$") & (number <= 65535)))
-    return F.when(good, _url(scheme, F.lower(host), F.when(has_port, number), normalize_path(F.when(path == "", "/").otherwise(path)), query))
+    return F.when(good, _url(scheme, F.lower(host), F.when(has_port, number), let(F.when(path == "", "/").otherwise(path), normalize_path), query))
 
 
 def origin(u: Column) -> Column:
@@ -54,7 +62,7 @@ def origin(u: Column) -> Column:
 
 
 def render(u: Column) -> Column:
-    return F.concat(origin(u), u["path"], F.coalesce(F.concat(F.lit("?"), u["query"]), F.lit("")))
+    return let(u, lambda u: F.concat(origin(u), u["path"], F.coalesce(F.concat(F.lit("?"), u["query"]), F.lit(""))))
 
 
 def same_origin(a: Column, b: Column) -> Column:
@@ -77,15 +85,18 @@ def extension(u: Column) -> Column:
 
 def join(base: Column, href: Column) -> Column:
     """Where a link on a page leads; null for fragments and schemes that aren't fetched."""
-    h = trim(F.regexp_extract(trim(href), r"^(?s)([^#]*)", 1))
+    return let(base, lambda b: let(trim(F.regexp_extract(trim(href), r"^(?s)([^#]*)", 1)), lambda h: _joined(b, h)))
+
+
+def _joined(base: Column, h: Column) -> Column:
     path, query = F.regexp_extract(h, r"^(?s)([^?]*)", 1), F.regexp_extract(h, r"^(?s)[^?]*\?(.+)$", 1)
     target = F.when(path == "", base["path"]).when(path.startswith("/"), path).otherwise(F.concat(directory(base), path))
-    relative = _url(base["scheme"], base["host"], base["port"], normalize_path(target), query)
+    relative = _url(base["scheme"], base["host"], base["port"], let(target, normalize_path), query)
     scheme = F.regexp_extract(h, r"^(?s)(.*?)://", 1)
+    absolute = F.when(h.startswith("//"), F.concat(base["scheme"], F.lit(":"), h)).when(F.contains(h, F.lit("://")) & scheme.rlike(r"^[A-Za-z0-9+.-]*$"), h)
     return (
         F.when((h == "") | base.isNull(), None)
-        .when(h.startswith("//"), parse(F.concat(base["scheme"], F.lit(":"), h)))
-        .when(F.contains(h, F.lit("://")), F.when(scheme.rlike(r"^[A-Za-z0-9+.-]*$"), parse(h)))
+        .when(h.startswith("//") | F.contains(h, F.lit("://")), parse(absolute))
         .when(h.rlike(r"^[A-Za-z]+:"), None)
         .otherwise(relative)
     )
@@ -93,8 +104,11 @@ def join(base: Column, href: Column) -> Column:
 
 def without_decoration(u: Column) -> Column:
     """The query goes where the page can't depend on it."""
-    static = u["path"].endswith("/") | F.coalesce(extension(u).isin(*STATIC), F.lit(False))
-    return F.when(u.isNotNull(), u.withField("query", F.when(~static, u["query"])))
+    def bare(u: Column) -> Column:
+        static = u["path"].endswith("/") | F.coalesce(extension(u).isin(*STATIC), F.lit(False))
+        return F.when(u.isNotNull(), _url(u["scheme"], u["host"], u["port"], u["path"], F.when(~static, u["query"])))
+
+    return let(u, bare)
 
 
 def looks_like_a_page(u: Column) -> Column:
@@ -108,4 +122,9 @@ def parent(path: Column) -> Column:
 
 
 def worth_following(u: Column, start: Column) -> Column:
-    return same_origin(u, start) & F.startswith(u["path"], directory(start)) & looks_like_a_page(u)
+    return let(u, lambda u: let(start, lambda s: same_origin(u, s) & F.startswith(u["path"], directory(s)) & looks_like_a_page(u)))
+
+
+def beside(u: Column, start: Column) -> Column:
+    """A page of the start's origin that isn't under its folder."""
+    return let(u, lambda u: let(start, lambda s: same_origin(u, s) & ~F.startswith(u["path"], directory(s)) & looks_like_a_page(u)))

@@ -108,9 +108,8 @@ def is_plain_text(content_type: Column, text: Column) -> Column:
 
 def outside_prefix(links: DataFrame, group: str) -> DataFrame:
     """(group, outside): distinct pages of the start's origin that lie beside its folder; links are (group, start, target), parsed."""
-    start, target = F.col("start"), F.col("target")
-    beside = U.same_origin(target, start) & U.looks_like_a_page(target) & ~F.startswith(target["path"], U.directory(start))
-    return links.groupBy(group).agg(F.count_distinct(F.when(beside, U.render(target))).alias("outside"))
+    rows = links.select(group, U.beside(F.col("target"), F.col("start")).alias("_beside"), U.render(F.col("target")).alias("_page"))
+    return rows.groupBy(group).agg(F.count_distinct(F.when(F.col("_beside"), F.col("_page"))).alias("outside"))
 
 
 def breadth_first(starts: DataFrame, links: DataFrame, depth: int = DEPTH, most: int = MOST_PAGES) -> DataFrame:

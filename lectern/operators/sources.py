@@ -107,14 +107,9 @@ def looks_like_shorthand(raw: Column) -> Column:
     return raw.rlike(r"^[A-Za-z0-9_-]+/[A-Za-z0-9_-]+(?:@[^/]*)?$")
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once, however often it is used."""
-    return F.transform(F.array(value), body)[0]
-
-
 def _web(raw: Column) -> Column:
     def of_url(u: Column) -> Column:
-        return _let(F.filter(F.split(u["path"], "/"), lambda p: p != ""), lambda parts: of_parts(u, parts))
+        return U.let(F.filter(F.split(u["path"], "/"), lambda p: p != ""), lambda parts: of_parts(u, parts))
 
     def of_parts(u: Column, parts: Column) -> Column:
         def at(n: int) -> Column:
@@ -136,7 +131,7 @@ def _web(raw: Column) -> Column:
             .otherwise(_spec("web", U.render(u)))
         )
 
-    return _let(U.parse(raw), of_url)
+    return U.let(U.parse(raw), of_url)
 
 
 def classify(raw: Column, exists: Column | None = None) -> Column:

@@ -142,6 +142,20 @@ def test_sample_is_bounded(spark):
     assert len(tables.bounded_sample(df.limit(10).union(df.limit(10)), "k", 100)) == 10
 
 
+def test_command_line(spark, folder, tmp_path, capsys):
+    from lectern import cli
+
+    out = str(tmp_path / "out")
+    assert cli.main(["extract", str(folder), "--out", out]) == 0
+    assert json.loads(capsys.readouterr().out.splitlines()[-1]) == {"documents": 4, "failures": 4}
+    assert cli.main(["plan", out]) == 0 and cli.main(["formats"]) == 0 and cli.main(["check"]) == 0 and cli.main(["sources", "o/r", str(folder)]) == 0
+    assert cli.main(["refresh", out, out]) == 0
+    assert cli.main(["build", out, "--out", str(tmp_path / "skill")]) == 0 and (tmp_path / "skill/SKILL.md").read_text()
+    (tmp_path / "s/one").mkdir(parents=True)
+    (tmp_path / "s/one/SKILL.md").write_text("bare")
+    assert cli.main(["audit", str(tmp_path / "s")]) == 1
+
+
 def test_registry_is_whole():
     import __spark_entry__ as entry
 
