@@ -174,18 +174,20 @@ def repeated_lines(texts: DataFrame, sources: DataFrame, key: str = "file_id", t
     # a sample tells which bands hold very many forms; these alone are dealt out to several tasks, and nothing is left out
     hot = in_band.sample(HOT_SAMPLE, 7).groupBy("band").count().where(F.col("count") > int(HOT_FORMS * HOT_SAMPLE)).select("band").limit(MOST_HOT)
     hot = [r[0] for r in hot.collect()]
-    salt = F.when(F.col("band").isin(hot), F.pmod("form", F.lit(SALTS))).otherwise(0) if hot else F.lit(0)
-    # one shuffle by band serves both the sums and the join with them
-    in_band = in_band.withColumn("salt", salt.cast("int")).repartition("band", "salt")
+    # one shuffle by these keys serves both the sums and the join with them
+    keys = ["band", "salt"] if hot else ["band"]
+    if hot:
+        in_band = in_band.withColumn("salt", F.when(F.col("band").isin(hot), F.pmod("form", F.lit(SALTS))).otherwise(0).cast("int"))
+    in_band = in_band.repartition(*keys)
     best = (F.sum("n").alias("n"), F.max("top").alias("top"), F.max_by("lead", F.struct("top", "lead")).alias("lead"))
-    part = in_band.select("band", "salt", F.col("form_files").alias("n"), F.col("form_files").alias("top"), F.col("form").alias("lead")).groupBy("band", "salt").agg(*best)
+    part = in_band.select(*keys, F.col("form_files").alias("n"), F.col("form_files").alias("top"), F.col("form").alias("lead")).groupBy(*keys).agg(*best)
     # a band with too few lines makes no frequent cluster; its strongest form stands for the rest
     strong = part.where(F.col("n") >= min_files)
     if hot:
         whole = part.where(F.col("band").isin(hot)).groupBy("band").agg(*best).where(F.col("n") >= min_files)
         dealt = whole.select("band", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), "n", "top", "lead")
         strong = strong.where(~F.col("band").isin(hot)).unionByName(dealt)
-    met = in_band.join(strong.select("band", "salt", "lead", "top"), ["band", "salt"])
+    met = in_band.join(strong.select(*keys, "lead", "top"), keys)
     pick = met.groupBy("form").agg(F.max(F.struct("top", "lead")).getField("lead").alias("lead"))
     signed = counted.select("form", "form_files", "s0", "s1")
     lead = signed.select(F.col("form").alias("lead"), F.col("s0").alias("t0"), F.col("s1").alias("t1"))
