@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -12,6 +12,10 @@ from pyspark.sql.types import StringType
 
 #: Unicode white space, spelled out so that all engines agree.
 WS = r"\x{9}-\x{D}\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+#: The same beyond ASCII, and as characters; and white space but for line feeds.
+WIDE_WS = r"\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+LINE_WS = r"\x{9}\x{B}-\x{D}\x{20}" + WIDE_WS
 #: Scripts whose characters count for themselves.
 CJK = r"\x{3000}-\x{303F}\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7AF}\x{F900}-\x{FAFF}\x{FF00}-\x{FFEF}"
 #: Code points that show nothing: zero width, direction marks, blank letters, tags.
@@ -27,14 +31,24 @@ WORDS_PER_TOKEN, CJK_PER_TOKEN = 0.75, 1.5
 PAGE_NUMBER = r"^(?:[0-9]{1,4}|(?i:(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})))$"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def is_ascii(c: Column) -> Column:
+    """A cheap test that lets most texts off the patterns with many ranges, which cost several times as much."""
+    return F.octet_length(c) == F.char_length(c)
+
+
 def trim(c: Column) -> Column:
     """Without white space, of any kind, at both ends."""
-    return F.regexp_replace(c, f"^[{WS}]+|[{WS}]+\\z", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def squeeze(c: Column) -> Column:
     """Runs of white space as one space, none at the ends."""
-    return F.regexp_replace(trim(c), f"[{WS}]+", " ")
+    return let(trim(c), lambda t: F.when(is_ascii(t), F.regexp_replace(t, r"\s+", " ")).otherwise(F.regexp_replace(t, f"[{WS}]+", " ")))
 
 
 def lines(c: Column) -> Column:
@@ -44,14 +58,15 @@ def lines(c: Column) -> Column:
 
 def estimate_tokens(c: Column) -> Column:
     """Tokens a text is likely to cost: words and wide characters over their rates, rounded down. Null text is null."""
-    words = F.regexp_count(F.regexp_replace(c, f"[{CJK}]", " "), F.lit(f"[^{WS}]+"))
-    wide = F.regexp_count(c, F.lit(f"[{CJK}]"))
+    # in ASCII, white space is what the short class says, and nothing is wide
+    words = F.regexp_count(F.when(is_ascii(c), c).otherwise(F.regexp_replace(c, f"[{CJK}{WIDE_WS}]", " ")), F.lit(r"\S+"))
+    wide = F.when(is_ascii(c), 0).otherwise(F.char_length(c) - F.char_length(F.regexp_replace(c, f"[{CJK}]", "")))
     return F.floor(words / F.lit(WORDS_PER_TOKEN) + wide / F.lit(CJK_PER_TOKEN)).cast("bigint")
 
 
 def sanitize(c: Column) -> Column:
     """The text without invisible code points."""
-    return F.regexp_replace(c, f"[{INVISIBLE}]", "")
+    return F.when(is_ascii(c), c).otherwise(F.regexp_replace(c, f"[{INVISIBLE}]", ""))
 
 
 def invisible_count(c: Column) -> Column:
@@ -64,7 +79,7 @@ def is_page_number(c: Column) -> Column:
 
 def dehyphenate(c: Column) -> Column:
     """Words broken at a line's end, put together."""
-    return F.regexp_replace(c, r"([\p{L}\p{N}\p{M}_])-\n([\p{L}\p{N}\p{M}_])", "$1$2")
+    return F.when(F.contains(c, F.lit("-\n")), F.regexp_replace(c, r"([\p{L}\p{N}\p{M}_])-\n([\p{L}\p{N}\p{M}_])", "$1$2")).otherwise(c)
 
 
 def slug(c: Column) -> Column:

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lectern.functions.text import trim
+from lectern.functions.text import let, trim
 
 #: Extensions that are never a page to read.
 NOT_A_PAGE = (
@@ -34,11 +32,6 @@ def _url(scheme: Column, host: Column, port: Column, path: Column, query: Column
     return F.named_struct(*[x for name, c in parts.items() for x in (F.lit(name), c)])
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that stands in the plan once, however often the body names it; without it nested URL functions grow beyond bounds."""
-    return F.transform(F.array(value), body)[0]
-
-
 def parse(raw: Column) -> Column:
     """struct(scheme, host, port, path, query) of an absolute http(s) URL; the fragment is dropped, an IPv6 host keeps its brackets."""
     return let(trim(raw), lambda r: let(F.regexp_replace(F.regexp_extract(r, r"^(?s).*?://([^/?#]*)", 1), "^.*@", ""), lambda a: _parsed(r, a)))

@@ -14,16 +14,17 @@ def doc_facts(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
 
     Null text counts as empty.  Columns of these names are replaced.
     """
-    clean = T.sanitize(F.coalesce(text, F.lit("")))
-    facts = docs.withColumn("invisible_codepoints_removed", T.invisible_count(F.coalesce(text, F.lit("")))).withColumn("_clean", clean)
+    facts = docs.withColumn("_clean", T.sanitize(F.coalesce(text, F.lit(""))))
+    facts = facts.withColumn("invisible_codepoints_removed", (F.char_length(F.coalesce(text, F.lit(""))) - F.char_length("_clean")).cast("bigint"))
     return facts.withColumns({"content_hash": T.fingerprint("_clean"), "characters": F.char_length("_clean").cast("bigint"), "estimated_tokens": T.estimate_tokens(F.col("_clean"))}).drop("_clean")
 
 
 def run_report(docs: DataFrame, source: str, path: str, text: str = "text", ocr: str = "pages_needing_ocr") -> DataFrame:
     """One row per source: documents, characters, estimated_tokens, failures, visual (documents with pages to look at)."""
     outcome = read_outcome(F.col(text), F.col(ocr))
-    t = F.when(outcome == "read", T.sanitize(F.col(text)))
-    rows = docs.select(F.col(source).alias("source"), outcome.alias("o"), F.char_length(t).alias("n"), T.estimate_tokens(t).alias("k"), F.col(path).alias("p"), (F.coalesce(F.size(ocr), F.lit(0)) > 0).alias("look"))
+    rows = docs.select(F.col(source).alias("source"), outcome.alias("o"), F.col(text).alias("t"), F.col(path).alias("p"), (F.coalesce(F.size(ocr), F.lit(0)) > 0).alias("look"))
+    rows = rows.withColumn("t", F.when(F.col("o") == "read", T.sanitize(F.col("t"))))
+    rows = rows.select("source", "o", "p", "look", F.char_length("t").alias("n"), T.estimate_tokens(F.col("t")).alias("k"))
     # exact copies of a row count once; what is compared are facts, not texts
     rows = rows.dropDuplicates(["source", "p"])
     return rows.groupBy("source").agg(

@@ -100,8 +100,8 @@ def page_text(spark: SparkSession, d: str) -> DataFrame:
 def run_report_by_host(spark: SparkSession, d: str) -> DataFrame:
     """The flagship: what a crawl read, by host: pages, characters, tokens, invisible code points, distinct texts; the ten largest."""
     pages = _pages(spark, d).select("fetch_id", U.parse(F.col("url"))["host"].alias("host"), H.strip(F.col("html")).alias("t"))
-    facts = pages.select("fetch_id", "host", T.sanitize(F.col("t")).alias("clean"), T.invisible_count(F.col("t")).alias("removed"))
-    facts = one_per_key(facts.select("fetch_id", "host", "removed", F.char_length("clean").alias("n"), T.estimate_tokens(F.col("clean")).alias("k"), F.xxhash64("clean").alias("h")), "fetch_id")
+    facts = pages.select("fetch_id", "host", F.char_length("t").alias("all"), T.sanitize(F.col("t")).alias("clean"))
+    facts = one_per_key(facts.select("fetch_id", "host", (F.col("all") - F.char_length("clean")).alias("removed"), F.char_length("clean").alias("n"), T.estimate_tokens(F.col("clean")).alias("k"), F.xxhash64("clean").alias("h")), "fetch_id")
     by = facts.groupBy("host").agg(F.count("*").alias("pages"), F.sum("n").alias("characters"), F.sum("k").alias("tokens"), F.sum("removed").alias("removed"), F.count_distinct("h").alias("texts"))
     return by.orderBy(F.col("tokens").desc(), "host").limit(10)
 
