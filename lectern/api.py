@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.functions.text import sanitize
+from lectern.functions.text import fnv1a, sanitize
 from lectern.model import Completer, complete_rows, stub
 from lectern.operators import chunking, report, skills, snapshots, sources
+from lectern.sources.locks import Lock, Options
 from lectern.sources.readers import Reader, read_files, read_skills
 
 
@@ -67,9 +68,27 @@ def refresh(before: DataFrame, after: DataFrame) -> DataFrame:
     return snapshots.changes(before, after)
 
 
+def replay(spark: SparkSession, lock: Lock) -> DataFrame:
+    """(key, change) since a build: its sources read again, held against what is on record."""
+    again = extract(spark, lock.source_inputs).where("error IS NULL").select(F.col("path").alias("key"), "content_hash")
+    return refresh(lock.snapshot(spark), again)
+
+
+def record(docs: DataFrame, name: str, inputs: list[str], options: Options | None = None, most: int = 1_000_000) -> Lock:
+    """The record of a build from what was extracted; a build reads a bounded number of documents, more than ``most`` raise ValueError."""
+    rows = docs.where("error IS NULL").select("path", "content_hash", "characters", "estimated_tokens").orderBy("path").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} documents in one build")
+    whole = "".join(r["content_hash"] for r in rows)
+    return Lock(
+        name=name, built_with="lectern", source_inputs=inputs, source_options=options or Options(), content_hash=f"{fnv1a(whole.encode()):016x}",
+        characters=sum(r["characters"] for r in rows), estimated_tokens=sum(r["estimated_tokens"] for r in rows), documents=[{"path": r["path"], "content_hash": r["content_hash"]} for r in rows],
+    )
+
+
 def passes(results: DataFrame, least: float) -> DataFrame:
     """(passed): whether the share of passed questions reaches ``least``."""
     return results.agg((F.coalesce(F.avg(F.col("passed").cast("double")), F.lit(0.0)) >= least).alias("passed"))
 
 
-__all__ = ["audit", "build", "classify", "examine", "extract", "passes", "plan", "refresh"]
+__all__ = ["audit", "build", "classify", "examine", "extract", "passes", "plan", "record", "refresh", "replay"]

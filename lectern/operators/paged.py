@@ -51,3 +51,9 @@ def pages_to_supplement(tables: Column, columns: Column, pages: Column) -> Colum
     tables, columns = (F.coalesce(c, F.array().cast("array<int>")) for c in (tables, columns))
     most = F.size(columns) * 2 > F.coalesce(pages, F.lit(0))
     return F.array_sort(F.array_union(tables, F.when((F.coalesce(pages, F.lit(0)) > 0) & most, F.array().cast("array<int>")).otherwise(columns)))
+
+
+def append_layout(markdown: Column, page: Column, layout: Column) -> Column:
+    """A page's text with its layout reading behind it, never in its place; without such a reading the text stays as it is."""
+    headed = F.concat(F.coalesce(markdown, F.lit("")), F.lit("\n\n[page "), page.cast("string"), F.lit(", as laid out]\n\n"), layout)
+    return F.when(layout.isNull() | (trim(layout) == ""), markdown).otherwise(headed)

@@ -48,6 +48,17 @@ def test_extract(spark, folder):
         api.extract(spark, [])
 
 
+def test_replay(spark, folder):
+    lock = api.record(api.extract(spark, [str(folder)]), "n", [str(folder)])
+    assert len(lock.documents) == 4 and lock.estimated_tokens > 0 and api.replay(spark, lock).count() == 0
+    (folder / "a.txt").write_text("other")
+    (folder / "new.md").write_text("new")
+    (folder / "d.csv").unlink()
+    assert sorted(r["change"] for r in api.replay(spark, lock).collect()) == ["added", "changed", "removed"]
+    with pytest.raises(ValueError):
+        api.record(api.extract(spark, [str(folder)]), "n", [], most=1)
+
+
 def test_skills_on_disk(spark, tmp_path):
     for name, text in {"one/SKILL.md": "---\nname: one\ndescription: Use when the user wants the first of all things done.\n---\nsee references/x.md\n", "one/references/x.md": "x", "one/inner/SKILL.md": "hidden", "two/SKILL.md": "bare"}.items():
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)

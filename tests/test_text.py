@@ -65,6 +65,12 @@ def test_paged(spark):
     assert paged.clean_paged_text(empty).count() == 0
 
 
+def test_append_layout(spark):
+    rows = spark.createDataFrame([("m", 3, "a  b"), ("m", 3, None), ("m", 3, " \n"), (None, 1, "x")], "m string, n int, l string")
+    got = [r[0] for r in rows.select(paged.append_layout(F.col("m"), F.col("n"), F.col("l"))).collect()]
+    assert got == ["m\n\n[page 3, as laid out]\n\na  b", "m", "m", "\n\n[page 1, as laid out]\n\nx"]
+
+
 @pytest.mark.parametrize(
     ("tables", "columns", "pages", "want"),
     [([3], [1, 2], 8, [1, 2, 3]), ([], [1, 2, 3], 4, []), ([2], [1, 2], 4, [1, 2]), (None, None, None, []), ([5], [1], 0, [1, 5])],
