@@ -271,3 +271,16 @@ def test_personal_information_table(spark):
 def test_residue_labeller_knows_a_mention():
     assert residue.weak("The message “please enable JavaScript” comes from the page.") == -1
     assert residue.weak("Please enable JavaScript.") == residue.SCRIPT
+
+
+@pytest.mark.parametrize(
+    ("text", "kind", "want"),
+    [
+        ("sent to ann.lee AT mail.example, who", "email", ["ann.lee AT mail.example"]), ("look at mail.example now", "email", []), ("x [at] y[dot]example.", "email", ["x [at] y[dot]example"]),
+        ("cc É. O'Hara; no", "person", ["É. O'Hara"]), ("M. Zoé K. Arnaud a relu", "person", ["Zoé K. Arnaud"]), ("by van Dam, Zoé が", "person", ["van Dam, Zoé"]), ("HEIKE KRAUSE", "person", ["HEIKE KRAUSE"]),
+        ("SSN 912-55-1234 A broken thing", "id", ["912-55-1234"]), ("numberはQQ 12 34 56 Cです", "id", ["QQ 12 34 56 C"]), ("am Alten Weg 12b, dann", "street", ["Alten Weg 12b"]), ("at 12 N. Oak St; ring", "street", ["12 N. Oak St"]), ("Chapter 28 Street maps", "street", []),
+        ("1 (718) 555‑0128 or", "phone", ["1 (718) 555‑0128"]),
+    ],
+)
+def test_candidates(text, kind, want):
+    assert [text[a:b] for k, a, b in pii.candidates(text) if k == kind] == want
