@@ -7,8 +7,10 @@ maximisation over the votes estimates how reliable each labeler is and how
 likely each span is a case; a logistic span classifier is trained on these
 likelihoods with features that reach beyond the labelers, and decides.
 
-Training sees at most ``TRAIN_DOCS`` documents (least key hashes); every document
-is searched in full where it is read, without a shuffle.  The gazetteer is a
+Words and phrases that are no names are counted over all documents, by the share
+of documents that have them.  Only the fit is on at most ``TRAIN_DOCS`` documents
+(least key hashes); every document is searched in full where it is read, without a
+shuffle.  The gazetteer is a
 table of given names that doesn't grow with the corpus; more than ``MAX_NAMES``
 raises ValueError.
 
@@ -26,6 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lectern.sources.tables import bounded_sample, in_batches
 
@@ -309,26 +312,96 @@ def fit(rows: list[list[str]], goal: np.ndarray, rounds: int = 80, rate: float =
     return weights
 
 
-def train(texts: list[str], names: frozenset[str]) -> Finder:
-    # words that also stand in lower case are no names
-    counts: dict[str, int] = {}
-    for t in texts:
-        for w in set(re.findall(r"(?<![\w@.'’-])[a-zà-öø-ÿ]{2,}(?![\w@])", t)):
-            counts[w] = counts.get(w, 0) + 1
-    # capitalised words that stand in a good part of all documents belong to the language, not to a person
-    heads: dict[str, int] = {}
-    for t in texts:
-        for w in set(re.findall(r"(?<![\w'’-])[A-ZÀ-ÖØ-Þ][a-zà-öø-ÿ]+(?![\w'’-])", t)):
-            heads[w.lower()] = heads.get(w.lower(), 0) + 1
-    often = max(8, len(texts) * 3 // 100)
+# what the corpus says of words and phrases
+
+_LOWER = re.compile(r"(?<![\w@.'’-])[a-zà-öø-ÿ]{2,}(?![\w@])")
+_HEAD = re.compile(r"(?<![\w'’-])[A-ZÀ-ÖØ-Þ][a-zà-öø-ÿ]+(?![\w'’-])")
+#: Documents out of which one must have a word in lower case, a capitalised word, a pair of words; and documents at least.
+WORD, HEAD, PHRASE = (2000, 3), (100 / 3, 8), (600, 4)
+_OPEN_COUNTS = 200_000
+
+
+class Counter:
+    """In how many documents words stand in lower case ("w") and capitalised ("h"), and pairs that look like names, but don't begin with a given one, stand ("p") and are said to be persons' ("q")."""
+
+    def __init__(self, names: frozenset[str]) -> None:
+        self.given = {n.lower() for n in names}
+        self.counts: dict[tuple[str, str], int] = {}
+        self.known: dict[str, tuple[tuple[str, str], ...]] = {}
+
+    def add(self, text: str) -> None:
+        if len(self.known) > 500_000:
+            self.known.clear()
+        found: set[tuple[str, str]] = set()
+        # no word reaches beyond the blanks around it
+        for piece in set(text.split()):
+            words = self.known.get(piece)
+            if words is None:
+                words = self.known[piece] = (*(("w", w) for w in _LOWER.findall(piece)), *(("h", w.lower()) for w in _HEAD.findall(piece)))
+            found.update(words)
+        for a, b in _persons(text):
+            span = text[a:b]
+            if span.split()[0].lower() in self.given:
+                continue  # no phrase, however often it stands
+            found.add(("p", span))
+            if ("q", span) not in found and (_PERSON_BEHIND.match(text, b) or _PERSON_BEFORE.search(text[max(0, a - 20) : a])):
+                found.add(("q", span))
+        for f in found:
+            self.counts[f] = self.counts.get(f, 0) + 1
+
+
+def common_words(counts: dict[tuple[str, str], int], documents: int, names: frozenset[str]) -> frozenset[str]:
+    """Words and phrases that are no names, by the share of all documents that have them."""
+    low, often, again = (max(least, documents / n) for n, least in (WORD, HEAD, PHRASE))
     given = {n.lower() for n in names}
-    common = frozenset(({w for w, n in counts.items() if n >= 3} | {w for w, n in heads.items() if n >= often}) - given)
-    # a pair of words that recurs in many documents is a fixed phrase
-    phrases: dict[str, int] = {}
-    for t in texts:
-        for w in {t[a:b] for a, b in _persons(t)}:
-            phrases[w] = phrases.get(w, 0) + 1
-    common |= {w for w, n in phrases.items() if n >= max(4, often // 18) and w.split()[0].lower() not in given}
+    # words that also stand in lower case are no names; capitalised words that stand in a good part of all documents belong to the language, not to a person
+    common = {w for (k, w), n in counts.items() if k == "w" and n >= low or k == "h" and n >= often} - given
+    # a pair of words that recurs in many documents is a fixed phrase, unless half of them say that it is a person
+    return frozenset(common | {w for (k, w), n in counts.items() if k == "p" and n >= again and 2 * counts.get(("q", w), 0) < n})
+
+
+def counted(documents: DataFrame, names: frozenset[str], key: str = "doc_id", text: str = "text") -> frozenset[str]:
+    """``common_words`` of all documents.  Counts are summed up where the texts are read; only what reaches its share comes to the driver, which is as much for any number of documents."""
+    texts = documents.select(key, text).where(F.length(text) > 0)
+    if not texts.groupBy(key).count().where("count > 1").isEmpty():
+        texts = texts.dropDuplicates([key])
+    n = texts.count()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = Counter(names)
+
+        def rows() -> pa.RecordBatch:
+            kinds, words = zip(*counter.counts, strict=True) if counter.counts else ((), ())
+            out = pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(words, pa.string()), pa.array([*counter.counts.values()], pa.int64())], names=["kind", "word", "n"])
+            counter.counts.clear()
+            return out
+
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                counter.add(t)
+                if len(counter.counts) > _OPEN_COUNTS:
+                    yield rows()
+        yield rows()
+
+    sums = in_batches(texts.select(text), run, "kind string, word string, n bigint").groupBy(F.when(F.col("kind") == "q", "p").otherwise(F.col("kind")).alias("kind"), "word")
+    sums = sums.agg(F.sum(F.when(F.col("kind") != "q", F.col("n"))).alias("n"), F.sum(F.when(F.col("kind") == "q", F.col("n"))).alias("said"))
+    least = {"w": WORD, "h": HEAD, "p": PHRASE}
+    reached = sums.where(" or ".join(f"kind = '{k}' and n >= {max(m, n / part)}D" for k, (part, m) in least.items()))
+    counts: dict[tuple[str, str], int] = {}
+    for kind, word, m, said in reached.collect():
+        counts[kind, word] = m
+        if said:
+            counts["q", word] = said
+    return common_words(counts, n, names)
+
+
+def train(texts: list[str], names: frozenset[str], common: frozenset[str] | None = None) -> Finder:
+    """``common`` is what ``common_words`` gives for the whole corpus; without it the texts are taken for the corpus."""
+    if common is None:
+        counter = Counter(names)
+        for t in texts:
+            counter.add(t)
+        common = common_words(counter.counts, len(texts), names)
     rows: dict[str, list[list[str]]] = {k: [] for k in KINDS}
     votes: dict[str, list[list[int]]] = {k: [] for k in KINDS}
     for t in texts:
@@ -348,7 +421,8 @@ def trained(documents: DataFrame, names: DataFrame, key: str = "doc_id", text: s
     if len(rows) > MAX_NAMES:
         raise ValueError(f"more than {MAX_NAMES} names")
     sample = bounded_sample(documents.select(key, text), key, TRAIN_DOCS)
-    return train([r[text] for r in sample if r[text]], frozenset(r[0].strip() for r in rows))
+    given = frozenset(r[0].strip() for r in rows)
+    return train([r[text] for r in sample if r[text]], given, counted(documents, given, key, text))
 
 
 def found(documents: DataFrame, finder: Finder, key: str = "doc_id", text: str = "text", replaced: bool = False) -> DataFrame:

@@ -268,6 +268,32 @@ def test_personal_information_table(spark):
     assert pii.found(df.limit(0), pii.trained(df.limit(0), names.limit(0))).count() == 0
 
 
+def test_words_and_phrases_are_counted_over_all_documents(spark, monkeypatch):
+    monkeypatch.setattr(pii, "TRAIN_DOCS", 20)
+    texts = [f"{_sentence(random.Random(i))}\n\nauthor: Oskar Brandtner" for i in range(200)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    sampled = {r["doc_id"] for r in pii.bounded_sample(df, "doc_id", 20)}
+    outside = [i for i in range(200) if i not in sampled][:12]
+    changed = [(i, t + "\n\nThe Granite Beacon stays, and quillons too." if i in outside else t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(changed + changed[:1], "doc_id bigint, text string")
+    names = spark.createDataFrame([(n,) for n in NAMES], "given_name string")
+    common = pii.trained(df, names).common
+    # stand outside the sample only
+    assert {"Granite Beacon", "quillons"} <= common
+    # an author of many documents is no fixed phrase
+    assert "Oskar Brandtner" not in common
+    # counts in parts, copies of rows once
+    monkeypatch.setattr(pii, "_OPEN_COUNTS", 10)
+    assert pii.counted(df.repartition(7), NAMES) == common == pii.counted(df.unionByName(df), NAMES)
+
+
+def test_shares_of_documents_make_words_common():
+    counts = {("w", "beacon"): 4, ("p", "Granite Beacon"): 12, ("p", "Oskar Brandtner"): 12, ("q", "Oskar Brandtner"): 11}
+    assert pii.common_words(counts, 6000, NAMES) == {"beacon", "Granite Beacon"}
+    assert pii.common_words(counts, 60_000, NAMES) == set()
+    assert pii.common_words({k: 10 * n for k, n in counts.items()}, 60_000, NAMES) == {"beacon", "Granite Beacon"}
+
+
 def test_residue_labeller_knows_a_mention():
     assert residue.weak("The message “please enable JavaScript” comes from the page.") == -1
     assert residue.weak("Please enable JavaScript.") == residue.SCRIPT
