@@ -83,15 +83,38 @@ def judged_entries(crawls: DataFrame) -> DataFrame:
     return in_batches(crawls.select("crawl_id", "errors").where(F.size("errors") > 0), run, "crawl_id bigint, kind string").distinct()
 
 
+def held_out(host: str) -> bool:
+    """Whether a host is of the fifth that ``holdout`` trains nothing on."""
+    return sum(host.encode("utf-8", "surrogatepass")) % 5 == 0
+
+
 def holdout(fetched: DataFrame) -> DataFrame:
-    """(label, predicted, sentences) over the sample's hosts, a fifth of which the classifier hasn't seen."""
-    sample = _sample(fetched)
+    """(label, predicted, sentences) over all pages of a fifth of the hosts, of which neither chain nor classifier has seen any."""
+    sample = [x for x in _sample(fetched) if not held_out(x[0])]
     chain = P.train([(t, b) for _, _, t, b in sample[: P.TRAIN_PAGES]])
-    reader = P.Reader(chain)
-    unseen = {h for h in {h for h, *_ in sample} if sum(h.encode()) % 5 == 0}
-    judge = R.train_pages([(t, b, raw) for h, raw, t, b in sample if h not in unseen], reader)
-    counts: dict[tuple[str, str], int] = {}
-    for s, t, y in R.page_examples((t, b, reader.labels(t, b), raw) for h, raw, t, b in sample if h in unseen):
-        key = (R.KINDS[y], R.KINDS[judge.kind(s, t)])
-        counts[key] = counts.get(key, 0) + 1
-    return fetched.sparkSession.createDataFrame([(a, b, n) for (a, b), n in sorted(counts.items())], "label string, predicted string, sentences bigint")
+    judge = R.train_pages([(t, b, raw) for _, raw, t, b in sample], P.Reader(chain))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = P.Reader(chain)
+        for batch in batches:
+            rows: list[tuple[int, str, str, int]] = []
+            for key, url, data, content_type in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if not held_out(_host(url)):
+                    continue
+                raw = P.read(data)
+                if not P.is_html(content_type, raw):
+                    continue
+                title, blocks = P.parse(raw)
+                counts: dict[tuple[str, str], int] = {}
+                for part in R.page_sentences([(title, blocks, reader.labels(title, blocks), raw)]):
+                    for s, t, y in part:
+                        pair = (R.KINDS[y], R.KINDS[judge.kind(s, t)])
+                        counts[pair] = counts.get(pair, 0) + 1
+                rows += [(key, *pair, n) for pair, n in counts.items()]
+            columns = [*zip(*rows, strict=True)] or [()] * 4
+            kinds = [pa.int64(), pa.string(), pa.string(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["fetch_id", "label", "predicted", "n"])
+
+    judged = in_batches(fetched.select("fetch_id", "url", "bytes", "content_type"), run, "fetch_id bigint, label string, predicted string, n bigint")
+    # repeated rows of a page count once
+    return judged.dropDuplicates(["fetch_id", "label", "predicted"]).groupBy("label", "predicted").agg(F.sum("n").alias("sentences")).orderBy("label", "predicted")

@@ -208,8 +208,8 @@ def _spread(kinds: list[int], texts: list[str]) -> list[int]:
     return out
 
 
-def page_examples(pages: Iterable[tuple[str, list[Block], list[int], str]]) -> list[tuple[str, str, int]]:
-    """Weakly labelled sentences of pages (title, blocks, labels, raw)."""
+def page_sentences(pages: Iterable[tuple[str, list[Block], list[int], str]]) -> tuple[list[tuple[str, str, int]], list[tuple[str, str, int]]]:
+    """Weakly labelled sentences of pages (title, blocks, labels, raw): residue, and content."""
     out, contents = [], []
     for title, blocks, labels, raw in pages:
         title = title.split(" | ")[0]
@@ -227,6 +227,12 @@ def page_examples(pages: Iterable[tuple[str, list[Block], list[int], str]]) -> l
                 contents.append((s, title, CONTENT))
             elif status:
                 out.append((s, title, ERROR))
+    return out, contents
+
+
+def page_examples(pages: Iterable[tuple[str, list[Block], list[int], str]]) -> list[tuple[str, str, int]]:
+    """Examples to train on: all residue, and content in proportion."""
+    out, contents = page_sentences(pages)
     return out + contents[: max(4000, 3 * len(out))]
 
 

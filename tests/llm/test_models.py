@@ -138,6 +138,22 @@ def test_residue_pages(spark):
     assert sum(r["sentences"] for r in held if r["label"] == r["predicted"]) > 0.95 * sum(r["sentences"] for r in held)
 
 
+def test_holdout_judges_all_pages_of_hosts_nothing_was_trained_on(spark, monkeypatch):
+    df, _ = _tables(spark, seed=6, n=120)
+    whole = sum(r["sentences"] for r in fetched.holdout(df).collect())
+    assert whole == sum(r["sentences"] for r in fetched.holdout(df.unionByName(df)).collect())
+    # as many whatever the sample's size
+    seen = []
+    for module, name in ((pages, "train"), (residue, "train_pages")):
+        monkeypatch.setattr(module, name, lambda given, *more, f=getattr(module, name): seen.extend(x[0] for x in given) or f(given, *more))
+    monkeypatch.setattr(residue, "SAMPLE_PAGES", 60)
+    some = sum(r["sentences"] for r in fetched.holdout(df).collect())
+    assert abs(some - whole) < 0.1 * whole
+    titles = {pages.parse(bytes(r["bytes"]).decode())[0] for r in df.where("fetch_id < 1000").collect() if fetched.held_out(fetched._host(r["url"]))}
+    others = {pages.parse(bytes(r["bytes"]).decode())[0] for r in df.where("fetch_id < 1000").collect() if not fetched.held_out(fetched._host(r["url"]))}
+    assert titles and seen and not set(seen) & (titles - others)
+
+
 def test_residue_entries(spark):
     plain = ["https://a.example/x: http status: 404", "https://a.example/y: timeout: global", "https://a.example/z: Not Found", "https://a.example/w: 502 Bad Gateway"]
     rows = [(i, [plain[i % 4], None, ""], None) for i in range(60)]
