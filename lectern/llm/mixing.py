@@ -5,8 +5,10 @@ the whole table) is cut into a fixed number of slots of one block each.  Source
 i with share w is a periodic task: its block j may run from slot floor(j / w)
 (release) and must have run by ceil((j + 1) / w) (deadline).  Earliest deadline
 first over these windows gives an order of blocks in which, at any point, every
-source is less than one block off its share.  The schedule has ``slots`` rows,
-whatever the size of the corpus; documents find their place in it by their
+source is less than one block off its share.  Blocks that hold part of a source's quota
+but have a later deadline than the last slot (of shares about a block or less) get slots behind
+it, so the schedule has about ``slots`` rows and three a target, whatever the size of the corpus, and
+a document without a slot is an error; documents find their place in it by their
 position within their source.
 
 That position is a running sum in a fixed pseudo-random order (hash of the key),
@@ -39,8 +41,13 @@ SLOTS = 4096
 RANGE_BITS, MOST_BITS = 10, 20
 
 
-def pfair_schedule(weights: dict[str, float], slots: int) -> list[tuple[int, str, int]]:
-    """(slot, source, block number of that source), earliest deadline first among released blocks."""
+def pfair_schedule(weights: dict[str, float], slots: int, blocks: dict[str, int] | None = None) -> list[tuple[int, str, int]]:
+    """(slot, source, block number of that source), earliest deadline first among released blocks.
+
+    ``blocks`` says how many blocks of each source are to be placed; those that didn't come within ``slots`` get slots behind them.
+    """
+    blocks = {s: n for s, n in (blocks or {}).items() if weights[s] > 0}
+    left = sum(blocks.values())
     waiting: list[tuple[int, str, int]] = []  # by release
     ready: list[tuple[int, int, str, int]] = []  # by deadline, then release, then name
 
@@ -52,15 +59,23 @@ def pfair_schedule(weights: dict[str, float], slots: int) -> list[tuple[int, str
         if weights[source] > 0:
             heapq.heappush(waiting, (0, source, 0))
     out = []
-    for slot in range(slots):
+    slot = 0
+    while slot < slots or left > 0:
         while waiting and waiting[0][0] <= slot:
             release, source, j = heapq.heappop(waiting)
             heapq.heappush(ready, (window(source, j)[1], release, source, j))
         if not ready:
+            if not waiting:
+                break
+            slot = waiting[0][0]  # nothing is released before
             continue
         _, _, source, j = heapq.heappop(ready)
+        if slot >= slots and j >= blocks.get(source, 0):
+            continue  # this source has all its blocks
         out.append((slot, source, j))
+        left -= j < blocks.get(source, 0)
         heapq.heappush(waiting, (max(slot + 1, window(source, j + 1)[0]), source, j + 1))
+        slot += 1
     return out
 
 
@@ -105,7 +120,7 @@ def mix(sized: DataFrame, targets: DataFrame, total: int | None = None, slots: i
     if bits is None:
         bits = min(MOST_BITS, max(RANGE_BITS, (documents >> 16).bit_length()))
     size = max(1, math.ceil(total / slots))
-    plan = spark.createDataFrame([(s, share, share * total, n) for s, share, n in goal], "source string, share double, quota double, max_repeats int")
+    plan = spark.createDataFrame([(s, share, share * total, n) for s, share, n in goal if share > 0], "source string, share double, quota double, max_repeats int")
     listed = sized.select(F.col(key), "source", "n_tokens").join(F.broadcast(plan), "source")
     middle = F.col("start") + F.col("n_tokens") / 2
     # copy k begins at k * supply; it is used while its middle lies before the quota
@@ -120,8 +135,10 @@ def mix(sized: DataFrame, targets: DataFrame, total: int | None = None, slots: i
         .withColumn("offset", F.col("copy") * F.col("supply") + F.col("start"))
         .withColumn("block", F.floor(F.col("offset") / F.lit(size)))
     )
-    schedule = spark.createDataFrame(pfair_schedule({s: w for s, w, _ in goal}, slots + 2 * len(goal)), "slot int, source string, block bigint")
-    return used.join(F.broadcast(schedule), ["source", "block"]).select("slot", "source", "block", "copy", key, "n_tokens", "offset")
+    blocks = {s: math.floor(w * total / size) + 1 for s, w, _ in goal}
+    schedule = spark.createDataFrame(pfair_schedule({s: w for s, w, _ in goal}, slots + 2 * len(goal), blocks), "slot int, source string, block bigint")
+    lost = F.raise_error(F.concat(F.lit("no slot for a block of "), "source")).cast("int")
+    return used.join(F.broadcast(schedule), ["source", "block"], "left").select(F.coalesce("slot", lost).alias("slot"), "source", "block", "copy", key, "n_tokens", "offset")
 
 
 def shares(mixed: DataFrame, sized: DataFrame, targets: DataFrame) -> DataFrame:

@@ -97,6 +97,27 @@ def test_mix_meets_shares_and_repeats(spark):
         assert all(seen[s] <= w * (slot + 1) * size + size + 10 for s, w in (("big", 0.5), ("small", 0.2)))
 
 
+def test_schedule_places_every_block_of_small_shares():
+    for weights in ({"a": 0.9, "b": 0.0999, "c": 0.0001}, {"a": 0.9} | {f"s{i}": 0.00005 for i in range(2000)}, {"a": 1 - 1e-9, "b": 1e-9, "none": 0.0}):
+        blocks = {s: int(w * 4096) + 1 for s, w in weights.items()}
+        rows = mixing.pfair_schedule(weights, 4096, blocks)
+        placed = defaultdict(list)
+        for _, source, block in rows:
+            placed[source].append(block)
+        assert all(placed[s] == [*range(len(placed[s]))] and len(placed[s]) >= blocks[s] for s, w in weights.items() if w)
+        assert len({slot for slot, *_ in rows}) == len(rows) <= 4096 + len(weights) + 1
+        # what came within the slots stays where it was
+        assert rows[:4096] == mixing.pfair_schedule(weights, 4096)
+
+
+def test_mix_keeps_small_shares(spark):
+    docs = [(i, "big", 10) for i in range(2000)] + [(10_000 + i, "middle", 10) for i in range(400)] + [(20_000 + i, "small", 1) for i in range(30)] + [(30_000, "zero", 0)]
+    rows, shares = _mix(spark, docs, [("big", 0.9, 3), ("middle", 0.0995, 9), ("small", 0.0005, 1), ("zero", 0.0, 1)], slots=64)
+    total = sum(d[2] for d in docs)
+    assert abs(shares["small"]["tokens"] - 0.0005 * total) <= 1 and abs(shares["middle"]["tokens"] - 0.0995 * total) <= 10
+    assert shares["zero"]["documents"] == 0
+
+
 def test_mix_edges(spark):
     assert _mix(spark, [], [("a", 1.0, 1)])[0] == []
     assert _mix(spark, [(1, "a", 3)], [])[0] == []
