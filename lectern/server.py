@@ -8,6 +8,8 @@ from typing import IO, Any
 
 #: The protocol's version, its error codes, characters per slice.
 PROTOCOL, NO_METHOD, BAD_ARGUMENTS, SLICE = "2024-11-05", -32601, -32602, 40_000
+#: Rows of a list in one answer, unless the request says how many.
+SHOWN = 1000
 
 Tool = Callable[[dict[str, Any]], str]
 
@@ -25,10 +27,14 @@ def number(arguments: dict[str, Any], name: str, default: int) -> int:
 
 def read_text(text: str, arguments: dict[str, Any]) -> str:
     """A slice of a text, and where the next begins."""
+    return _slice(len(text), lambda a, b: text[a:b], arguments)
+
+
+def _slice(size: int, part: Callable[[int, int], str], arguments: dict[str, Any]) -> str:
     offset, limit = number(arguments, "offset", 0), number(arguments, "limit", SLICE)
-    end = min(len(text), offset + limit)
-    more = f", continue at {end}" if end < len(text) else ""
-    return f"{text[offset:end]}\n\n[{end}/{len(text)}{more}]"
+    end = min(size, offset + limit)
+    more = f", continue at {end}" if end < size else ""
+    return f"{part(offset, end)}\n\n[{end}/{size}{more}]"
 
 
 def answer(request: Any, tools: dict[str, tuple[str, Tool]]) -> dict | None:
@@ -68,23 +74,50 @@ def serve(lines: Iterable[str], out: IO[str], tools: dict[str, tuple[str, Tool]]
 
 def tools_of(spark) -> dict[str, tuple[str, Tool]]:
     """The engine's own tools over a session."""
+    from pyspark.sql import Window as W
+    from pyspark.sql import functions as F
+
     from lectern import api
+    from lectern.sources.tables import stored
+
+    # the texts read last, as rows (start, text) in the order of the paths, and the characters of all with a blank line between
+    last: dict[str, Any] = {"size": 0}
+
+    def part(a: int, b: int) -> str:
+        if a >= b:
+            return ""
+        rows = last["texts"].where((F.col("start") < b) & (F.col("start") + F.length("text") > a))
+        cut = F.col("text").substr(F.greatest(F.lit(0), F.lit(a) - F.col("start")).cast("int") + 1, (F.lit(b) - F.greatest(F.lit(a), F.col("start"))).cast("int"))
+        return "".join(r[0] for r in rows.orderBy("start").select(cut).collect())
 
-    last: dict[str, str] = {}
+    def shown(name: str, rows, arguments: dict[str, Any]) -> dict[str, Any]:
+        """A page of the rows, how many there are of them all, and where the next page begins."""
+        offset, limit = number(arguments, "offset", 0), number(arguments, "limit", SHOWN)
+        total = rows.count()
+        page = [r.asDict(True) for r in rows.orderBy(F.to_json(F.struct(*rows.columns))).offset(offset).limit(limit).collect()]
+        return {name: page, f"{name}_total": total} | ({f"{name}_continue_at": offset + len(page)} if offset + len(page) < total else {})
 
     def extract(arguments: dict[str, Any]) -> str:
-        rows = api.extract(spark, strings(arguments, "sources")).select("path", "text", "estimated_tokens", "error").limit(1000).collect()
-        last["text"] = "\n\n".join(r["text"] for r in rows if r["text"])
-        failed = [f"{r['path']}: {r['error']}" for r in rows if r["error"]]
-        return json.dumps({"documents": sum(bool(r["text"]) for r in rows), "estimated_tokens": sum(r["estimated_tokens"] or 0 for r in rows), "failures": failed})
+        rows = stored(api.extract(spark, strings(arguments, "sources")).select("path", "text", "estimated_tokens", "error").withColumn("id", F.monotonically_increasing_id()))
+        there = F.length("text") > 0
+        documents, characters, tokens = rows.agg(F.count_if(there), F.sum(F.when(there, F.length("text").cast("bigint"))), F.sum("estimated_tokens")).first()
+        # only lengths go in the window over all; every text but the first has a blank line before it
+        sizes = rows.where(there).select("id", "path", (F.length("text") + 2).cast("bigint").alias("n"))
+        starts = sizes.select("id", (F.sum("n").over(W.orderBy("path", "id").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")).alias("start"))
+        texts = rows.join(starts, "id").select((F.col("start") - 2).alias("start"), F.concat(F.lit("\n\n"), "text").alias("text"))
+        texts = texts.select(F.greatest(F.lit(0), F.col("start")).alias("start"), F.when(F.col("start") < 0, F.expr("substr(text, 3)")).otherwise(F.col("text")).alias("text"))
+        last.update(texts=stored(texts), size=(characters or 0) + 2 * max(0, documents - 1))
+        failed = shown("failures", rows.where("error <> ''").select("path", "error"), arguments)
+        failed["failures"] = [f"{r['path']}: {r['error']}" for r in failed["failures"]]
+        return json.dumps({"documents": documents, "estimated_tokens": tokens or 0} | failed)
 
     def audit(arguments: dict[str, Any]) -> str:
         findings, tree, _ = api.audit(spark, str(arguments.get("path", ".")), number(arguments, "budget", 2000))
-        return json.dumps([r.asDict() for r in findings.limit(1000).collect()] + [r.asDict() for r in tree.limit(1000).collect()])
+        return json.dumps(shown("findings", findings, arguments) | shown("tree", tree, arguments))
 
     return {
         "extract": ("read files and report on them", extract),
-        "read_text": ("a slice of the text read last", lambda a: read_text(last.get("text", ""), a)),
+        "read_text": ("a slice of the text read last", lambda a: _slice(last["size"], part, a)),
         "audit": ("findings on the skills of a folder", audit),
         "sources": ("what source strings name", lambda a: json.dumps([r.asDict() for r in api.classify(spark, strings(a, "sources")).collect()])),
     }

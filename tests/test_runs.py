@@ -115,6 +115,32 @@ def test_server():
     assert server.read_text("abcdef", {"offset": 2, "limit": 2}).startswith("cd") and server.number({"n": "x"}, "n", 7) == 7 and server.strings({"l": ["a", 1]}, "l") == ["a"]
 
 
+def test_server_tools_cover_all_files(spark, tmp_path):
+    texts = [f"text {i:04} \U0001f600 end" for i in range(1100)]
+    (tmp_path / "d").mkdir()
+    for i, t in enumerate(texts):
+        (tmp_path / f"d/f{i:04}.txt").write_text(t)
+    for i in range(3):
+        (tmp_path / f"d/p{i}.pdf").write_bytes(b"%PDF-")
+    for i in range(3):
+        (tmp_path / f"s/k{i}").mkdir(parents=True)
+        (tmp_path / f"s/k{i}/SKILL.md").write_text("bare")
+    tools = {n: f for n, (_, f) in server.tools_of(spark).items()}
+    assert tools["read_text"]({}) == "\n\n[0/0]"
+    got = json.loads(tools["extract"]({"sources": [str(tmp_path / "d")], "limit": 2}))
+    assert got["documents"] == 1100 and got["failures_total"] == 3 and len(got["failures"]) == 2 and got["failures_continue_at"] == 2
+    whole = "\n\n".join(texts)
+    for offset, limit in ((0, 50_000), (5, 30), (19, 3), (len(whole) - 30, 100), (len(whole) + 5, 9)):
+        assert tools["read_text"]({"offset": offset, "limit": limit}) == server.read_text(whole, {"offset": offset, "limit": limit})
+    every = json.loads(tools["audit"]({"path": str(tmp_path / "s")}))
+    pages, at = [], 0
+    while at is not None:
+        page = json.loads(tools["audit"]({"path": str(tmp_path / "s"), "offset": at, "limit": 4}))
+        assert page["findings_total"] == every["findings_total"] == len(every["findings"])
+        pages, at = pages + page["findings"], page.get("findings_continue_at")
+    assert pages == every["findings"] and len(pages) > 4
+
+
 def test_refresh_stream(spark, tmp_path):
     schema = "key string, text string, fetched_at timestamp"
 
