@@ -279,10 +279,12 @@ def decoded(texts: DataFrame, key: str = "file_id", text: str = "text", method:
                 found = decode(t, m or "") if t else []
                 languages.append(sorted({label for *_, label in found} - {"clean"}))
                 if clean:
-                    for _ in range(4):  # marks inside marks come to light one level at a time
-                        if all(label == "clean" for *_, label in found):
-                            break
+                    before = set()  # no text twice, so that it ends
+                    while any(label != "clean" for *_, label in found):  # marks inside marks come to light one level at a time
+                        before.add(hash(t))
                         t = convert(t, found)
+                        if hash(t) in before:
+                            break
                         found = decode(t, m or "")
                     cleaned.append(t)
             arrays = [batch.column(0), pa.array(languages, pa.list_(pa.string()))]

@@ -208,6 +208,15 @@ def test_markup_table(spark):
     assert markup.decoded(df.limit(0)).count() == 0
 
 
+def test_marks_in_marks_are_all_removed(spark):
+    rows = [(i, t, m) for i, t, m, _ in _markup(3, 200)]
+    deep = {900: "A fact &" + "amp;" * 9 + "nbsp; here.", 901: "See " + "\\emph{" * 8 + "this" + "}" * 8 + " word.", 902: "One " + "{{note|a=" * 7 + "b" + "}}" * 7 + " two."}
+    df = spark.createDataFrame(rows + [(i, t, "web-page") for i, t in deep.items()], "file_id bigint, text string, method string")
+    got = {r["file_id"]: r for r in markup.decoded(df, clean=True).where("file_id >= 900").collect()}
+    assert all(got[i]["markup"] for i in deep)
+    assert not any(x in got[i]["text"] for i in deep for x in ("amp;", "emph", "{{", "}}")), [got[i]["text"] for i in deep]
+
+
 @pytest.mark.parametrize(
     ("text", "want"),
     [
