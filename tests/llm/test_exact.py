@@ -8,6 +8,7 @@ from collections import defaultdict
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lectern.llm import lines, mixing, pairs, splitting, tokenize
 
@@ -222,14 +223,39 @@ def _sets(seed, n, words):
     return out
 
 
-@pytest.mark.parametrize(("t", "shared", "least", "hot"), [(0.34, 3, 3, 0.01), (0.34, 3, 3, 0.3), (0.8, 1, 1, 0.05), (0.5, 2, 1, 0.02), (0.25, 2, 2, 0.02)])
-def test_similar_pairs_are_all_there(spark, t, shared, least, hot):
+@pytest.mark.parametrize(("t", "shared", "least", "ranked"), [(0.34, 3, 3, 20_000), (0.34, 3, 3, 1), (0.8, 1, 1, 3), (0.5, 2, 1, 5), (0.25, 2, 2, 20_000)])
+def test_similar_pairs_are_all_there(spark, monkeypatch, t, shared, least, ranked):
+    monkeypatch.setattr(pairs, "RANKED", ranked)
     sets = _sets(3, 220, 40)
     df = spark.createDataFrame([*sets.items(), *list(sets.items())[:5]], "id bigint, terms array<string>")
-    got = {tuple(r) for r in pairs.expand(*pairs.similar_pairs(df, t, shared, least, hot)).collect()}
+    got = {tuple(r) for r in pairs.expand(*pairs.similar_pairs(df, t, shared, least)).collect()}
     assert got == _brute(sets, None, t, shared, least)
 
 
+@pytest.mark.parametrize(("t", "shared", "least", "worth"), [(0.34, 3, 3, 0.5), (0.8, 1, 1, 0.5), (0.2, 1, 1, 0.5), (0.34, 3, 3, 9)])
+def test_similar_pairs_of_crowded_buckets(spark, monkeypatch, t, shared, least, worth):
+    """Buckets of more than a few records are dealt out until they hold links only; long sets are in length classes."""
+    monkeypatch.setattr(pairs, "HEAVY", 4)
+    monkeypatch.setattr(pairs, "WORTH", worth)
+    sets = _sets(5, 100, 24) | ({500 + i: [f"w{j}" for j in range(i, 40 + 2 * i)] for i in range(6)} if worth < 1 else {})
+    df = spark.createDataFrame([*sets.items()], "id bigint, terms array<string>")
+    got = {tuple(r) for r in pairs.expand(*pairs.similar_pairs(df, t, shared, least)).collect()}
+    assert got == _brute(sets, None, t, shared, least)
+
+
+def test_candidates_grow_with_records_and_links(spark):
+    """Three sizes over the same few words, a third of all records with two of them: the work doesn't grow with the square."""
+    import random
+
+    r, counts = random.Random(8), []
+    for n in (1500, 3000, 6000):
+        sets = [(i, r.sample([f"w{j}" for j in range(300)], 10) + (["hot", "hotter"] if r.random() < 0.33 else [])) for i in range(n)]
+        df = spark.createDataFrame(sets, "id bigint, terms array<string>")
+        hashed = df.select(F.col("id").alias("class"), F.lit(0).alias("side"), F.transform("terms", lambda x: F.xxhash64(x)).alias("h"))
+        counts.append(pairs.candidates(hashed, 0.34, 3, {}, False).count())
+    assert counts[2] < 6000 * 40 and counts[2] / max(1, counts[0]) < 16
+
+
 def test_similar_pairs_between_tables(spark):
     left, right = _sets(1, 90, 30), {k + 1000: v for k, v in _sets(2, 90, 30).items()}
     right[2000] = left[3]
