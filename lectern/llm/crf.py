@@ -38,32 +38,24 @@ class Chain:
         pages = [p for p in pages if any(y >= 0 for _, y in p)]
         if not pages:
             return self
-        k, n, longest = len(self.labels), len(pages), max(map(len, pages))
-        lengths = np.array([*map(len, pages)])
-        place = [(i, t) for i, p in enumerate(pages) for t in range(len(p))]
-        row = np.array([i * longest + t for i, t in place])
-        features = np.concatenate([np.array(f, np.int64) for p in pages for f, _ in p])
-        of = np.repeat(row, [len(f) for p in pages for f, _ in p])
-        allowed = np.ones((n, longest, k), bool)
-        for i, p in enumerate(pages):
-            for t, (_, y) in enumerate(p):
-                if y >= 0:
-                    allowed[i, t] = False
-                    allowed[i, t, y] = True
-        used = np.unique(features)
-        local = np.searchsorted(used, features)
+        k, n = len(self.labels), len(pages)
+        pages = sorted(pages, key=len, reverse=True)
+        layout = _Layout([*map(len, pages)])
+        # positions step by step over all pages, so that nothing is computed for pages that have ended
+        order = [pages[i][t] for t, count in enumerate(layout.counts) for i in range(count)]
+        features = np.concatenate([np.array(f, np.int64) for f, _ in order])
+        of = np.repeat(np.arange(len(order)), [len(f) for f, _ in order])
+        known = np.array([y for _, y in order])
+        allowed = (known[:, None] < 0) | (known[:, None] == np.arange(k))
+        used, local = np.unique(features, return_inverse=True)
         params = [self.weights[used].astype(float), self.step.astype(float), self.begin.astype(float)]
         first, second = [np.zeros_like(x) for x in params], [np.zeros_like(x) for x in params]
-        inside = np.arange(longest)[None, :] < lengths[:, None]
         for r in range(1, rounds + 1):
             w, step, begin = params
-            score = np.zeros((n * longest, k))
-            for y in range(k):
-                score[:, y] = np.bincount(of, w[local, y], n * longest)
-            score = score.reshape(n, longest, k)
-            whole, pairs, starts = _expected(score, step, begin, lengths, inside)
-            part, part_pairs, part_starts = _expected(np.where(allowed, score, -1e9), step, begin, lengths, inside)
-            gap = (part - whole).reshape(n * longest, k)
+            score = np.stack([np.bincount(of, w[local, y], len(order)) for y in range(k)], 1)
+            whole, pairs, starts = _expected(score, step, begin, layout)
+            part, part_pairs, part_starts = _expected(np.where(allowed, score, -1e9), step, begin, layout)
+            gap = part - whole
             grad = [np.stack([np.bincount(local, gap[of, y], len(used)) for y in range(k)], 1) - penalty * w, part_pairs - pairs - penalty * step, part_starts - starts - penalty * begin]
             for i, g in enumerate(grad):
                 g /= n
@@ -136,21 +128,32 @@ def _sum(x: np.ndarray, axis: int) -> np.ndarray:
     return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis))
 
 
-def _expected(score: np.ndarray, step: np.ndarray, begin: np.ndarray, lengths: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+class _Layout:
+    """Where the positions of pages of these lengths (longest first) lie, step by step: of step t, ``counts[t]`` from ``starts[t]`` on."""
+
+    def __init__(self, lengths: list[int]) -> None:
+        n = np.array(lengths)
+        self.counts = [int((n > t).sum()) for t in range(lengths[0])]
+        self.starts = np.concatenate([[0], np.cumsum(self.counts)]).tolist()
+        starts = np.array(self.starts)
+        self.page = np.concatenate([np.arange(c) for c in self.counts])
+        self.last = starts[n - 1] + np.arange(len(n))
+        self.now = np.arange(self.counts[0], self.starts[-1])
+        self.before = starts[np.repeat(np.arange(len(self.counts)), self.counts)[self.now] - 1] + self.page[self.now]
+
+
+def _expected(score: np.ndarray, step: np.ndarray, begin: np.ndarray, at: _Layout) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Expected labels, pairs of labels and first labels, of all pages at once."""
-    n, longest, k = score.shape
-    ahead = np.empty_like(score)
-    ahead[:, 0] = begin + score[:, 0]
-    for t in range(1, longest):
-        ahead[:, t] = _sum(ahead[:, t - 1][:, :, None] + step[None], 1) + score[:, t]
-    behind = np.zeros_like(score)
-    for t in range(longest - 2, -1, -1):
-        x = _sum(step[None] + (score[:, t + 1] + behind[:, t + 1])[:, None, :], 2)
-        behind[:, t] = np.where((t + 1 < lengths)[:, None], x, 0.0)
-    total = _sum(ahead[np.arange(n), lengths - 1], 1)
-    each = np.exp(ahead + behind - total[:, None, None]) * inside[:, :, None]
-    pairs = np.zeros((k, k))
-    for t in range(1, longest):
-        x = np.exp(ahead[:, t - 1][:, :, None] + step[None] + (score[:, t] + behind[:, t])[:, None, :] - total[:, None, None])
-        pairs += (x * inside[:, t][:, None, None]).sum(0)
-    return each, pairs, each[:, 0].sum(0)
+    n, starts, counts = at.counts[0], at.starts, at.counts
+    ahead, behind = np.empty_like(score), np.zeros_like(score)
+    ahead[:n] = begin + score[:n]
+    for t in range(1, len(counts)):
+        a, b, c = starts[t - 1], starts[t], counts[t]
+        ahead[b : b + c] = _sum(ahead[a : a + c, :, None] + step[None], 1) + score[b : b + c]
+    for t in range(len(counts) - 2, -1, -1):
+        a, b, c = starts[t], starts[t + 1], counts[t + 1]
+        behind[a : a + c] = _sum(step[None] + (score[b : b + c] + behind[b : b + c])[:, None, :], 2)
+    total = _sum(ahead[at.last], 1)[at.page]
+    each = np.exp(ahead + behind - total[:, None])
+    pairs = np.exp(ahead[at.before][:, :, None] + step[None] + (score + behind)[at.now][:, None, :] - total[at.now][:, None, None]).sum(0)
+    return each, pairs, each[:n].sum(0)
