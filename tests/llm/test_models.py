@@ -196,6 +196,26 @@ def test_markup_on_unseen_texts():
         assert {label for *_, label in decode(text, method)} - {"clean"} == want, text
 
 
+#: The same sign as residue and as itself; none of these stand in the labelled pages.
+CONTEXTS = [
+    ("The *quick* visit was over.\n\nSee [more](https://x.example).", {"markdown"}, "void put(char *quick, char *over);\nput(*quick, *over);"),
+    ("'''Harbour''' is a [[village]] near the sea.", {"wiki"}, "doc = '''Harbour'''\nprint(doc)"),
+    ("Read [the plan][p] now.\n\n[p]: https://x.example/p", {"markdown"}, "total += table[row][column];"),
+    ("{{cite|title=Harbour}} is what [[they]] say.", {"wiki"}, "print({{ harbour|title(1, 2) }});"),
+    ("| harbour | size |\n|---|---|\n| north | 4 |", {"markdown"}, "if (north | south | east) { open(); }"),
+    ("Then __leave__ the harbour.\n\n- [x] done", {"markdown"}, "class Harbour:\n    def __enter__(self): return self.__dict__"),
+]
+
+
+def test_signs_are_judged_by_their_surroundings():
+    decode = markup.Decoder(markup.train([(t, m) for _, t, m, _ in _markup(1, 300)]))
+    for marked, languages, plain in CONTEXTS:
+        assert {y for *_, y in decode(marked, "web-page")} - {"clean"} == languages, marked
+        assert {y for *_, y in decode(plain, "web-page")} <= {"clean"}, plain
+    # the chain goes against what the form usually is
+    assert sum(decode.overruled(plain, "web-page")[1] for *_, plain in CONTEXTS) >= 5
+
+
 def test_markup_table(spark):
     rows = _markup(3, 200)
     data = [(i, t, m, "x") for i, t, m, _ in rows] + [(0, rows[0][1], rows[0][2], "x"), (900, None, None, "x"), (901, "", "m", "x"), (902, "<b>" + "word " * 100_000, "m", "x")]
@@ -225,7 +245,7 @@ def test_marks_in_marks_are_all_removed(spark):
     ],
 )
 def test_conversion(text, want):
-    found = [(f, a, b, markup._LABEL[f] or "clean") for f, a, b in markup.marks(text)]
+    found = [(f, a, b, markup._LABEL[f] or markup.OPEN[f]) for f, a, b in markup.marks(text)]
     assert markup.convert(text, found) == want
 
 
