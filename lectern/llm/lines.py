@@ -4,15 +4,24 @@ Method: mask numbers, dates and names, cluster the lines of each source by
 locality-sensitive hashing (MinHash of five-word shingles, Jaccard of 0.8 or
 more) and remove clusters that occur in many files.
 
-A line's *form* is the project's normal form (``forms``); its *mask* is the line
-with digits as 0 and runs of capitalised words as one sign, and is used for the
-signature only.  A file contributes each form once.  Lines are read, normalised
-and signed in Arrow batches; what is shuffled is hashes, never text.
+A line's *form* is the project's normal form (``forms``).  Its *mask* is the form
+with digits as 0 and each date and each run of capitalised words as one sign; lines of one mask are
+one from the start.  Masks of a source meet in bands of two min-hashes.  A band's mask of the most
+files is its lead; every mask is compared with the leads of all its bands, by the exact
+overlap of their shingles, and joins the strongest that it is a near copy of.  Masks that neither joined
+nor were joined, because unlike masks of more files led their bands, meet once more in narrower
+bands, where fewer unlike ones are.  A mask whose lead joined another goes with it.
 
-Skew: the aggregations are keyed by (source, form) and (source, band), with
-partial sums before the shuffle, and bands that hold very many forms are salted, so
-neither a source nor a line that stands in every file of a source gathers in one
-task.
+Recall: two masks of a Jaccard of 0.8 share one of the four bands of two min-hashes with a probability of
+0.983, and one of the fourteen of four with 0.953; more above.  A line of less than five
+words is a single shingle.
+
+Lines are read, normalised and signed in Arrow batches; what is shuffled is hashes, never text.
+A file contributes each form and each mask once.
+
+Skew: sums are partial before the shuffle, bands are joined by the engine's own skew join, and
+the lines are joined with what is removed of them on (form, one of ``SALTS``), so a line that
+stands in every file of a source doesn't gather in one task.
 
 Results: null and empty text have no lines; a file without a known source
 has none either; repeated rows of a file count once; of several sources given
@@ -23,6 +32,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +45,16 @@ from lectern.sources.tables import in_batches, stored
 MIN_FILES = 8
 MIN_CHARS = 20
 SHINGLE = 5
-#: Min-hashes of 16 bits, four to a signature word; three pairs of them are the bands.
-HASHES, BANDS, ROWS = 8, 3, 2
-#: Min-hashes that must agree with the cluster's representative: at a Jaccard of 0.8 six of eight are likelier than not.
-AGREE = 6
-#: A band of more than so many forms, as a sample shows, is dealt out to several tasks.
-HOT_FORMS, HOT_SAMPLE, MOST_HOT, SALTS = 200_000, 0.01, 1000, 64
+#: Min-hashes of 16 bits, four to a signature word.
+HASHES = 8
+#: The bands, wide ones first: four pairs of min-hashes, then fours so that any three min-hashes are together in one.
+BANDS = (
+    ((0, 1), (2, 3), (4, 5), (6, 7)),
+    tuple(x for x in combinations(range(HASHES), 4) if x[0] ^ x[1] ^ x[2] ^ x[3] == 0),
+)
+JACCARD = 0.8
+#: Tasks that the lines of one form are dealt out to.
+SALTS = 16
 
 _DIGITS, _SPACE = re.compile(r"\d+"), re.compile(r"[^\S\n]+")
 
@@ -68,84 +82,150 @@ def forms(text: str) -> Iterator[tuple[int, str, str]]:
             yield n, form, line
 
 
+#: Names of months and their abbreviations.
+MONTHS = frozenset(
+    "january february march april may june july august september october november december jan feb mar apr jun jul aug sep sept oct nov dec "
+    "januar februar märz mai juni juli oktober dezember janvier février mars avril juin juillet août septembre octobre novembre décembre "
+    "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre".split()
+)
+#: Words inside dates, and what ends a day's number.
+_WITHIN, _DAY = frozenset("de of del".split()), re.compile(r"0(?:st|nd|rd|th|er|º|\.)?$")
+_NAME, _DATE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def _flags(word: str) -> int:
+    """1: capitalised; 2: a month; 4: a number; 8: a word inside dates."""
+    bare = word.strip(".,;:()").lower()
+    return (1 if word[:1].isupper() else 0) | (2 if bare in MONTHS else 0) | (4 if _DAY.match(bare) else 0) | (8 if bare in _WITHIN else 0)
+
+
 class Signer:
-    """MinHash signatures of masked lines, for whole batches at a time."""
+    """Masks, shingles and MinHash signatures of lines, for whole batches at a time."""
 
     def __init__(self) -> None:
-        self.hashes: dict[str, int] = {}
+        self.hashes: dict[str, tuple[int, int]] = {}
         rng = np.random.default_rng(7)
         self.mul = rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) | np.uint64(1)
         self.add = rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
 
-    def __call__(self, lines: list[str]) -> np.ndarray:
-        """Two signature words of four 16-bit min-hashes each, per line."""
-        if not lines:
-            return np.zeros((0, 2), np.int64)
+    def masked(self, lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The signs of the masked lines, one after the other, and how many each line has."""
         split = [x.split(" ") for x in lines]
         words = [w for x in split for w in x]
-        sizes = np.fromiter(map(len, split), np.int64, len(split))
         if len(self.hashes) > 1_000_000:
             self.hashes.clear()
         for w in set(words).difference(self.hashes):
-            # the low bit says whether the word is capitalised
-            self.hashes[w] = (xxhash.xxh3_64_intdigest(w.lower()) & ~1) | w[:1].isupper()
-        h = np.fromiter(map(self.hashes.__getitem__, words), np.uint64, len(words))
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        line_of = np.repeat(np.arange(len(lines)), sizes)
-        upper = (h & np.uint64(1)).astype(bool)
-        beside = np.zeros(len(h), bool)
+            self.hashes[w] = (xxhash.xxh3_64_intdigest(w.lower()), _flags(w))
+        known = [*map(self.hashes.__getitem__, words)]
+        h = np.fromiter((x for x, _ in known), np.uint64, len(known))
+        flags = np.fromiter((x for _, x in known), np.int8, len(known))
+        line_of = np.repeat(np.arange(len(lines)), np.fromiter(map(len, split), np.int64, len(split)))
         same = line_of[1:] == line_of[:-1]
-        pair = upper[1:] & upper[:-1] & same
-        beside[1:] |= pair
-        beside[:-1] |= pair
-        h = np.where(beside, np.uint64(0x9E3779B97F4A7C15), h)
+
+        def beside(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            """Whether x stands at a place and y at one beside it in the line."""
+            out = np.zeros(len(x), bool)
+            out[1:] |= x[1:] & y[:-1] & same
+            out[:-1] |= x[:-1] & y[1:] & same
+            return out
+
+        month, number, within = (flags & 2) > 0, (flags & 4) > 0, (flags & 8) > 0
+        # a month with a number beside it, the numbers beside that, and the words that hold them together
+        date = beside(month, number | within)
+        for _ in range(2):
+            date |= beside(number, date) | beside(within, date)
+        # words inside dates that stand at their edges are none
+        date &= ~within | beside(number | month, within) | beside(within, number | month)
+        upper = (flags & 1) > 0
+        name = beside(upper, upper) & ~date
+        h = np.where(date, _DATE, np.where(name, _NAME, h))
+        again = np.zeros(len(h), bool)
+        again[1:] = same & (h[1:] == h[:-1]) & (date | name)[1:]
+        keep = ~again
+        return h[keep], np.bincount(line_of[keep], minlength=len(lines))
+
+    def __call__(self, lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Per line its mask and two signature words of four 16-bit min-hashes each; shingles of all lines, and where each line's begin."""
+        if not lines:
+            none = np.zeros(0, np.int64)
+            return none, np.zeros((0, 2), np.int64), none.astype(np.int32), np.zeros(1, np.int64)
+        h, sizes = self.masked(lines)
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        ends = np.repeat(starts + sizes, sizes)
         with np.errstate(over="ignore"):
+            # the mask: a sum over its signs and their places
+            at = (np.arange(len(h)) - np.repeat(starts, sizes)).astype(np.uint64)
+            mixed = (h ^ (h >> np.uint64(31))) * (at * np.uint64(2) + np.uint64(0x9E3779B97F4A7C15))
+            mask = np.add.reduceat(mixed ^ (mixed >> np.uint64(29)), starts)
             rolled = h.copy()
-            left = np.repeat(starts + sizes, sizes) - np.arange(len(h))  # words from here to the line's end
+            left = ends - np.arange(len(h))  # signs from here to the line's end
             for k in range(1, SHINGLE):
                 nxt = np.zeros_like(h)
                 nxt[: len(h) - k] = h[k:]
                 rolled = rolled * np.uint64(0x100000001B3) + np.where(left > k, nxt, np.uint64(k))
-            # a line of five words or more has only whole shingles; a shorter one is a single shingle
-            keep = (left >= SHINGLE) | ((np.repeat(sizes, sizes) < SHINGLE) & (left == np.repeat(sizes, sizes)))
-            rolled = rolled[keep]
+            # a line of five signs or more has only whole shingles; a shorter one is a single shingle
+            whole = np.repeat(sizes, sizes)
+            rolled = rolled[(left >= SHINGLE) | ((whole < SHINGLE) & (left == whole))]
             n = np.maximum(sizes - SHINGLE + 1, 1)
-            at = np.concatenate([[0], np.cumsum(n)[:-1]])
+            first = np.concatenate([[0], np.cumsum(n)])
             mixed = rolled ^ (rolled >> np.uint64(29))
             out = np.zeros((len(lines), 2), np.uint64)
             for k in range(HASHES):
-                least = np.minimum.reduceat((mixed * self.mul[k] + self.add[k]) >> np.uint64(20), at)
+                least = np.minimum.reduceat((mixed * self.mul[k] + self.add[k]) >> np.uint64(20), first[:-1])
                 out[:, k // 4] |= (least * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(48)) << np.uint64(16 * (k % 4))
-        return out.view(np.int64)
+            shingles = ((mixed * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        return mask.view(np.int64), out.view(np.int64), shingles, first
 
 
-_LINE = [("line_no", pa.int32()), ("form", pa.int64()), ("fresh", pa.int32()), ("s0", pa.int64()), ("s1", pa.int64())]
+_LINE = "line_no:int,form:bigint,mask:bigint,fresh:int"
+_MASK = "mask:bigint,s0:bigint,s1:bigint,shingles:array<int>"
 
 
 def file_lines(df: DataFrame, key: str = "file_id", text: str = "text") -> DataFrame:
-    """(key, lines: array of (line_no, form, fresh, s0, s1)) per row; form is a 64-bit hash, fresh is 1 at the first line of that form in the text, s0 and s1 are the signature."""
+    """(key, lines, masks) per row.  lines: line_no, form and mask as 64-bit hashes, fresh (1 at the text's first line of that form, plus 2 at the first of that mask).  masks: signature and shingles of each mask, at least once per task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sign = Signer()
+        told: set[int] = set()
         for batch in batches:
-            per, numbers, hashes, fresh, masked = [], [], [], [], []
+            per, numbers, hashes, raw = [], [], [], []
             for t in batch.column(1).to_pylist():
-                before, seen = len(numbers), set()
+                before = len(numbers)
                 for n, form, line in forms(t) if t else ():
-                    h = xxhash.xxh3_64_intdigest(form)
                     numbers.append(n)
-                    hashes.append(h)
-                    fresh.append(h not in seen)
-                    seen.add(h)
-                    masked.append(line)
+                    hashes.append(xxhash.xxh3_64_intdigest(form))
+                    raw.append(line)
                 per.append(len(numbers) - before)
-            sig = sign(masked)
-            columns = [np.array(numbers, np.int32), np.array(hashes, np.uint64).view(np.int64), np.array(fresh, np.int32), np.ascontiguousarray(sig[:, 0]), np.ascontiguousarray(sig[:, 1])]
-            rows = pa.StructArray.from_arrays([pa.array(c) for c in columns], names=[n for n, _ in _LINE])
-            offsets = np.concatenate([[0], np.cumsum(per)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), rows)], names=[key, "lines"])
+            mask, sig, shingles, first = sign(raw)
+            form = np.array(hashes, np.uint64).view(np.int64)
+            line_at = np.concatenate([[0], np.cumsum(per)]).astype(np.int32)
+            fresh, new, new_per = np.zeros(len(form), np.int32), [], []
+            form_list, mask_list = form.tolist(), mask.tolist()
+            if len(told) > 2_000_000:
+                told.clear()
+            for a, b in zip(line_at[:-1].tolist(), line_at[1:].tolist(), strict=True):
+                seen_form, seen_mask, count = set(), set(), 0
+                for i in range(a, b):
+                    f, m = form_list[i], mask_list[i]
+                    if f not in seen_form:
+                        seen_form.add(f)
+                        fresh[i] = 1
+                    if m not in seen_mask:
+                        seen_mask.add(m)
+                        fresh[i] |= 2
+                        if m not in told:
+                            told.add(m)
+                            new.append(i)
+                            count += 1
+                new_per.append(count)
+            lines = pa.StructArray.from_arrays([pa.array(np.array(numbers, np.int32)), pa.array(form), pa.array(mask), pa.array(fresh)], names=["line_no", "form", "mask", "fresh"])
+            parts = [np.unique(shingles[first[i] : first[i + 1]]) for i in new]
+            sets = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([*map(len, parts)])]).astype(np.int32)), pa.array(np.concatenate([*parts, np.zeros(0, np.int32)]), pa.int32()))
+            masks = pa.StructArray.from_arrays([pa.array(mask[new]), pa.array(np.ascontiguousarray(sig[new, 0])), pa.array(np.ascontiguousarray(sig[new, 1])), sets], names=["mask", "s0", "s1", "shingles"])
+            mask_at = pa.array(np.concatenate([[0], np.cumsum(new_per)]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(line_at), lines), pa.ListArray.from_arrays(mask_at, masks)], names=[key, "lines", "masks"])
 
-    return in_batches(df.select(key, text), run, f"`{key}` {df.schema[key].dataType.simpleString()}, lines array<struct<line_no:int,form:bigint,fresh:int,s0:bigint,s1:bigint>>")
+    return in_batches(df.select(key, text), run, f"`{key}` {df.schema[key].dataType.simpleString()}, lines array<struct<{_LINE}>>, masks array<struct<{_MASK}>>")
 
 
 def source_of(path: Column) -> Column:
@@ -156,53 +236,62 @@ def source_of(path: Column) -> Column:
     return F.when(path.rlike("(?i)^https?://"), host).when(repo != "", repo).otherwise(folder)
 
 
+def clusters(masks: DataFrame) -> DataFrame:
+    """(node, cluster): the nodes of masks (node, source, files, s0, s1, shingles) that are near copies of a lead, and the node of that lead; others stand alone."""
+    hashes = [F.shiftrightunsigned(word, 16 * k).bitwiseAND(0xFFFF) for word in ("s0", "s1") for k in range(4)]
+    shingled = masks.select("node", "shingles")
+    alone, joined = masks.select("node", "source", "files", "s0", "s1"), None
+    for rows in BANDS:
+        bands = F.array(*[F.xxhash64("source", F.lit(b), *[hashes[i] for i in picked]) for b, picked in enumerate(rows)])
+        in_band = alone.select("node", "files", F.explode(bands).alias("band"))
+        part = in_band.groupBy("band").agg(F.count("*").alias("m"), F.max(F.struct("files", "node")).alias("lead"))
+        # a band of one mask has no near copies
+        led = in_band.join(part.where("m > 1").select("band", "lead"), "band")
+        met = led.where(F.col("node") != F.col("lead.node")).select("node", F.col("lead.files").alias("lead_files"), F.col("lead.node").alias("lead")).distinct()
+        both = met.join(shingled, "node").join(shingled.select(F.col("node").alias("lead"), F.col("shingles").alias("others")), "lead")
+        shared = F.size(F.array_intersect("shingles", "others"))
+        near = both.where(shared >= JACCARD * (F.size("shingles") + F.size("others") - shared))
+        near = stored(near.groupBy("node").agg(F.max(F.struct("lead_files", "lead")).getField("lead").alias("cluster")))
+        joined = near if joined is None else joined.unionByName(near)
+        # who joined or was joined has its place, the rest meets again in narrower bands
+        if rows is not BANDS[-1]:
+            placed = near.select("node").unionByName(near.select(F.col("cluster").alias("node"))).distinct()
+            alone = alone.join(placed, "node", "left_anti")
+    # a lead of one band may be a follower in another
+    while True:
+        up = joined.select(F.col("node").alias("cluster"), F.col("cluster").alias("_up"))
+        higher = stored(joined.join(up, "cluster", "left").select("node", F.coalesce("_up", "cluster").alias("cluster"), F.col("_up").isNotNull().alias("moved")))
+        joined = higher.select("node", "cluster")
+        if higher.where("moved").isEmpty():
+            return joined
+
+
 def repeated_lines(texts: DataFrame, sources: DataFrame, key: str = "file_id", text: str = "text", min_files: int = MIN_FILES) -> DataFrame:
     """The lines of frequent clusters in texts (key, text) whose source is given by sources (key, source).
 
     One row per line: key, line_no, form (hash of source and form), form_files (files with
-    this very form), cluster, cluster_files (files of all forms of the cluster, at least
-    ``min_files``).
+    this very form), cluster (the mask it is a near copy of).  The clusters stand in at least ``min_files`` files.
     """
     one = sources.groupBy(key).agg(F.min("source").alias("source")).where("source is not null")
-    read = file_lines(texts, key, text).where(F.size("lines") > 0).dropDuplicates([key]).join(one, key)
-    read = stored(read.select(key, F.xxhash64("source").alias("source"), "lines"))
-    lines = read.select(key, "source", F.explode("lines").alias("_l")).select(key, "source", F.xxhash64("source", "_l.form").alias("form"), "_l.line_no", "_l.fresh", "_l.s0", "_l.s1")
-    counted = stored(lines.groupBy("form").agg(F.sum("fresh").alias("form_files"), F.min("source").alias("source"), F.min("s0").alias("s0"), F.min("s1").alias("s1")))
-    pair = [F.col("s0").bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned("s0", 32), F.col("s1").bitwiseAND(0xFFFFFFFF)]
-    bands = F.array(*[F.xxhash64("source", F.lit(b), p) for b, p in enumerate(pair)])
-    in_band = counted.select("form", "form_files", F.explode(bands).alias("band"))
-    # a sample tells which bands hold very many forms; these alone are dealt out to several tasks, and nothing is left out
-    hot = in_band.sample(HOT_SAMPLE, 7).groupBy("band").count().where(F.col("count") > int(HOT_FORMS * HOT_SAMPLE)).select("band").limit(MOST_HOT)
-    hot = [r[0] for r in hot.collect()]
-    # one shuffle by these keys serves both the sums and the join with them
-    keys = ["band", "salt"] if hot else ["band"]
-    if hot:
-        in_band = in_band.withColumn("salt", F.when(F.col("band").isin(hot), F.pmod("form", F.lit(SALTS))).otherwise(0).cast("int"))
-    in_band = in_band.repartition(*keys)
-    best = (F.sum("n").alias("n"), F.max("top").alias("top"), F.max_by("lead", F.struct("top", "lead")).alias("lead"))
-    part = in_band.select(*keys, F.col("form_files").alias("n"), F.col("form_files").alias("top"), F.col("form").alias("lead")).groupBy(*keys).agg(*best)
-    # a band with too few lines makes no frequent cluster; its strongest form stands for the rest
-    strong = part.where(F.col("n") >= min_files)
-    if hot:
-        whole = part.where(F.col("band").isin(hot)).groupBy("band").agg(*best).where(F.col("n") >= min_files)
-        dealt = whole.select("band", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), "n", "top", "lead")
-        strong = strong.where(~F.col("band").isin(hot)).unionByName(dealt)
-    met = in_band.join(strong.select(*keys, "lead", "top"), keys)
-    pick = met.groupBy("form").agg(F.max(F.struct("top", "lead")).getField("lead").alias("lead"))
-    signed = counted.select("form", "form_files", "s0", "s1")
-    lead = signed.select(F.col("form").alias("lead"), F.col("s0").alias("t0"), F.col("s1").alias("t1"))
-
-    def same(a: str, b: str):
-        x = F.col(a).bitwiseXOR(F.col(b))
-        return sum((F.shiftrightunsigned(x, 16 * k).bitwiseAND(0xFFFF) == 0).cast("int") for k in range(4))
-
-    near = same("s0", "t0") + same("s1", "t1") >= AGREE
-    # a form too far from its band's lead stands alone
-    member = pick.join(signed, "form").join(lead, "lead").select("form", "form_files", F.when(near, F.col("lead")).otherwise(F.col("form")).alias("cluster"))
-    marked = stored(lines.select(key, "line_no", "form", "fresh").join(member, "form"))
-    # a file counts once for all forms of a cluster
-    files = marked.where("fresh = 1").groupBy("cluster").agg(F.count_distinct(key).alias("cluster_files")).where(F.col("cluster_files") >= min_files)
-    return marked.drop("fresh").join(files, "cluster")
+    raw = stored(file_lines(texts, key, text).where(F.size("lines") > 0))
+    read = stored(raw.select(key, "lines").dropDuplicates([key]).join(one, key).select(key, F.xxhash64("source").alias("source"), "lines"))
+    lines = read.select(key, "source", F.explode("lines").alias("_l")).select(key, "source", F.xxhash64("source", "_l.form").alias("form"), "_l.line_no", "_l.mask", F.expr("_l.fresh & 1").alias("fresh"), F.expr("_l.fresh >> 1").alias("fresh_mask"))
+    forms_ = stored(lines.groupBy("form").agg(F.sum("fresh").alias("form_files"), F.sum("fresh_mask").alias("part"), F.min("source").alias("source"), F.min("mask").alias("mask")).withColumn("node", F.xxhash64("source", "mask")))
+    counted = forms_.groupBy("mask", "node").agg(F.min("source").alias("source"), F.sum("part").alias("files"))
+    signed = raw.select(F.explode("masks").alias("_m")).select("_m.*").dropDuplicates(["mask"])
+    nodes = stored(counted.join(signed, "mask").drop("mask"))
+    near = clusters(nodes)
+    member = nodes.select("node", "files").join(near, "node", "left").select("node", "files", F.coalesce("cluster", "node").alias("cluster"))
+    sums = member.groupBy("cluster").agg(F.max("files").alias("most"), F.sum("files").alias("sum")).where(F.col("sum") >= min_files)
+    member = stored(member.join(sums, "cluster"))
+    bad = member.where(F.col("most") >= min_files).select("node", "cluster")
+    # where no mask is frequent by itself, files with several masks of the cluster count once
+    unsure = forms_.join(member.where(F.col("most") < min_files).select("node", "cluster"), "node").select("form", "cluster")
+    files = lines.where("fresh = 1").join(unsure, "form").groupBy("cluster").agg(F.count_distinct(key).alias("n")).where(F.col("n") >= min_files)
+    bad = bad.unionByName(member.join(files, "cluster", "left_semi").select("node", "cluster"))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    named = forms_.join(bad, "node").select("form", "form_files", "cluster", salts.alias("_salt"))
+    return lines.select(key, "line_no", "form", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int").alias("_salt")).join(named, ["form", "_salt"]).drop("_salt")
 
 
 def without_lines(texts: DataFrame, bad: DataFrame, key: str = "file_id", text: str = "text") -> DataFrame:
