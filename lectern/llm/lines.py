@@ -5,19 +5,20 @@ locality-sensitive hashing (MinHash of five-word shingles, Jaccard of 0.8 or
 more) and remove clusters that occur in many files.
 
 A line's *form* is the project's normal form (``forms``).  Its *mask* is the form
-with digits as 0 and each date and each run of capitalised words as one sign; lines of one mask are
-one from the start.  Masks of a source meet in bands of two min-hashes.  A band's mask of the most
-files is its lead; every mask is compared with the leads of all its bands, by the exact
-overlap of their shingles, and joins the strongest that it is a near copy of.  Masks that neither joined
-nor were joined, because unlike masks of more files led their bands, meet once more in narrower
-bands, where fewer unlike ones are.  A mask whose lead joined another goes with it.
-
-Recall: two masks of a Jaccard of 0.8 share one of the four bands of two min-hashes with a probability of
-0.983, and one of the fourteen of four with 0.953; more above.  A line of less than five
+with digits as 0 and each date and each run of capitalised words as one sign; it is what is shingled
+and signed.  Forms of a source meet in bands of two min-hashes.  A band's form of the most
+files is its lead; every form is compared with the leads of all its bands, by
+their min-hashes and where half of these agree by the overlap of all their shingles (16-bit
+hashes), and joins the strongest that it is a near copy of.  Forms that neither joined
+nor were joined, because unlike forms of more files led their bands, meet once more in narrower
+bands, where fewer unlike ones are.  A form whose lead joined another goes with it.
+
+Recall: two forms of a Jaccard of 0.8 share one of the four bands of two min-hashes with a probability of
+0.983, and one of the fourteen of four with 0.953; half of their min-hashes agree with 0.99; more above.  A line of less than five
 words is a single shingle.
 
 Lines are read, normalised and signed in Arrow batches; what is shuffled is hashes, never text.
-A file contributes each form and each mask once.
+A file contributes each form once.
 
 Skew: sums are partial before the shuffle, bands are joined by the engine's own skew join, and
 the lines are joined with what is removed of them on (form, one of ``SALTS``), so a line that
@@ -53,6 +54,10 @@ BANDS = (
     tuple(x for x in combinations(range(HASHES), 4) if x[0] ^ x[1] ^ x[2] ^ x[3] == 0),
 )
 JACCARD = 0.8
+#: Min-hashes that must agree before the shingles are fetched.
+AGREE = 4
+#: Bits that tell which rows can be left out before a join.
+SIEVE = 1 << 25
 #: Tasks that the lines of one form are dealt out to.
 SALTS = 16
 
@@ -145,10 +150,10 @@ class Signer:
         return h[keep], np.bincount(line_of[keep], minlength=len(lines))
 
     def __call__(self, lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Per line its mask and two signature words of four 16-bit min-hashes each; shingles of all lines, and where each line's begin."""
+        """Per line its mask and two signature words of four 16-bit min-hashes each; 16-bit hashes of the shingles of all lines, and where each line's begin."""
         if not lines:
             none = np.zeros(0, np.int64)
-            return none, np.zeros((0, 2), np.int64), none.astype(np.int32), np.zeros(1, np.int64)
+            return none, np.zeros((0, 2), np.int64), none.astype(np.int16), np.zeros(1, np.int64)
         h, sizes = self.masked(lines)
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         ends = np.repeat(starts + sizes, sizes)
@@ -173,16 +178,16 @@ class Signer:
             for k in range(HASHES):
                 least = np.minimum.reduceat((mixed * self.mul[k] + self.add[k]) >> np.uint64(20), first[:-1])
                 out[:, k // 4] |= (least * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(48)) << np.uint64(16 * (k % 4))
-            shingles = ((mixed * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            shingles = ((mixed * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(48)).astype(np.uint16).view(np.int16)
         return mask.view(np.int64), out.view(np.int64), shingles, first
 
 
-_LINE = "line_no:int,form:bigint,mask:bigint,fresh:int"
-_MASK = "mask:bigint,s0:bigint,s1:bigint,shingles:array<int>"
+_LINE = "line_no:int,form:bigint,mask:bigint,fresh:int,s0:bigint,s1:bigint"
+_MASK = "mask:bigint,shingles:array<smallint>"
 
 
 def file_lines(df: DataFrame, key: str = "file_id", text: str = "text") -> DataFrame:
-    """(key, lines, masks) per row.  lines: line_no, form and mask as 64-bit hashes, fresh (1 at the text's first line of that form, plus 2 at the first of that mask).  masks: signature and shingles of each mask, at least once per task."""
+    """(key, lines, masks) per row.  lines: line_no, form and mask as 64-bit hashes, fresh (1 at the text's first line of that form), signature.  masks: the shingles of each mask, at least once per task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sign = Signer()
@@ -204,24 +209,20 @@ def file_lines(df: DataFrame, key: str = "file_id", text: str = "text") -> DataF
             if len(told) > 2_000_000:
                 told.clear()
             for a, b in zip(line_at[:-1].tolist(), line_at[1:].tolist(), strict=True):
-                seen_form, seen_mask, count = set(), set(), 0
+                seen, count = set(), 0
                 for i in range(a, b):
                     f, m = form_list[i], mask_list[i]
-                    if f not in seen_form:
-                        seen_form.add(f)
+                    if f not in seen:
+                        seen.add(f)
                         fresh[i] = 1
-                    if m not in seen_mask:
-                        seen_mask.add(m)
-                        fresh[i] |= 2
-                        if m not in told:
-                            told.add(m)
-                            new.append(i)
-                            count += 1
+                    if m not in told:
+                        told.add(m)
+                        new.append(i)
+                        count += 1
                 new_per.append(count)
-            lines = pa.StructArray.from_arrays([pa.array(np.array(numbers, np.int32)), pa.array(form), pa.array(mask), pa.array(fresh)], names=["line_no", "form", "mask", "fresh"])
-            parts = [np.unique(shingles[first[i] : first[i + 1]]) for i in new]
-            sets = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([*map(len, parts)])]).astype(np.int32)), pa.array(np.concatenate([*parts, np.zeros(0, np.int32)]), pa.int32()))
-            masks = pa.StructArray.from_arrays([pa.array(mask[new]), pa.array(np.ascontiguousarray(sig[new, 0])), pa.array(np.ascontiguousarray(sig[new, 1])), sets], names=["mask", "s0", "s1", "shingles"])
+            lines = pa.StructArray.from_arrays([pa.array(c) for c in (np.array(numbers, np.int32), form, mask, fresh, np.ascontiguousarray(sig[:, 0]), np.ascontiguousarray(sig[:, 1]))], names=["line_no", "form", "mask", "fresh", "s0", "s1"])
+            sets = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(shingles)).take(pa.array(new, pa.int64()))
+            masks = pa.StructArray.from_arrays([pa.array(mask[new]), sets], names=["mask", "shingles"])
             mask_at = pa.array(np.concatenate([[0], np.cumsum(new_per)]).astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(line_at), lines), pa.ListArray.from_arrays(mask_at, masks)], names=[key, "lines", "masks"])
 
@@ -236,32 +237,53 @@ def source_of(path: Column) -> Column:
     return F.when(path.rlike("(?i)^https?://"), host).when(repo != "", repo).otherwise(folder)
 
 
-def clusters(masks: DataFrame) -> DataFrame:
-    """(node, cluster): the nodes of masks (node, source, files, s0, s1, shingles) that are near copies of a lead, and the node of that lead; others stand alone."""
+def _agree(a: Column, b: Column) -> Column:
+    """How many of the four min-hashes of two signature words agree."""
+    x = a.bitwiseXOR(b)
+    return sum((F.shiftrightunsigned(x, 16 * k).bitwiseAND(0xFFFF) == 0).cast("int") for k in range(4))
+
+
+def sieve(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows whose integer key may be one of ``wanted``'s, and none lost: a bitmap of ``SIEVE`` bits in words of 64, a broadcast of that bound."""
+    place = F.pmod(F.xxhash64(F.lit("sieve"), key), F.lit(SIEVE))
+    bits = wanted.select(place.alias("_p")).groupBy(F.shiftright("_p", 6).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_p & 63 as int))")).alias("_bits"))
+    met = df.withColumn("_p", place).withColumn("_word", F.shiftright("_p", 6)).join(F.broadcast(bits), "_word")
+    return met.where(F.expr("shiftright(_bits, cast(_p & 63 as int)) & 1 = 1")).select(*df.columns)
+
+
+def clusters(forms_: DataFrame, shingles: DataFrame) -> DataFrame:
+    """(form, cluster): the forms (form, source, mask, files, s0, s1) that are near copies of a lead, and that lead; others stand alone.  shingles: (mask, shingles), repeated rows or not."""
     hashes = [F.shiftrightunsigned(word, 16 * k).bitwiseAND(0xFFFF) for word in ("s0", "s1") for k in range(4)]
-    shingled = masks.select("node", "shingles")
-    alone, joined = masks.select("node", "source", "files", "s0", "s1"), None
+    alone, joined = forms_.select("form", "source", "files", "mask", "s0", "s1"), None
     for rows in BANDS:
         bands = F.array(*[F.xxhash64("source", F.lit(b), *[hashes[i] for i in picked]) for b, picked in enumerate(rows)])
-        in_band = alone.select("node", "files", F.explode(bands).alias("band"))
-        part = in_band.groupBy("band").agg(F.count("*").alias("m"), F.max(F.struct("files", "node")).alias("lead"))
-        # a band of one mask has no near copies
-        led = in_band.join(part.where("m > 1").select("band", "lead"), "band")
-        met = led.where(F.col("node") != F.col("lead.node")).select("node", F.col("lead.files").alias("lead_files"), F.col("lead.node").alias("lead")).distinct()
-        both = met.join(shingled, "node").join(shingled.select(F.col("node").alias("lead"), F.col("shingles").alias("others")), "lead")
-        shared = F.size(F.array_intersect("shingles", "others"))
-        near = both.where(shared >= JACCARD * (F.size("shingles") + F.size("others") - shared))
-        near = stored(near.groupBy("node").agg(F.max(F.struct("lead_files", "lead")).getField("lead").alias("cluster")))
+        in_band = alone.select("form", "files", F.explode(bands).alias("band"))
+        part = in_band.groupBy("band").agg(F.count("*").alias("m"), F.max(F.struct("files", "form")).alias("lead"))
+        # a band of one form has no near copies; the engine sees the sizes of tables it has written, and picks its joins by them
+        strong = stored(part.where("m > 1").select("band", "lead"))
+        met = sieve(in_band, "band", strong).join(strong, "band").where(F.col("form") != F.col("lead.form"))
+        met = stored(met.select("form", F.col("lead.files").alias("lead_files"), F.col("lead.form").alias("lead")).distinct())
+        some = met.select("form").unionByName(met.select(F.col("lead").alias("form"))).distinct()
+        some = stored(sieve(alone, "form", some).join(some, "form"))
+        signed = some.select("form", "mask", "s0", "s1")
+        close = met.join(signed, "form").join(signed.toDF("lead", "others", "t0", "t1"), "lead").where(_agree(F.col("s0"), F.col("t0")) + _agree(F.col("s1"), F.col("t1")) >= AGREE)
+        close = stored(close.select("form", "mask", "lead", "lead_files", "others"))
+        wanted = stored(close.select("mask").unionByName(close.select(F.col("others").alias("mask"))).distinct())
+        sets = stored(sieve(shingles, "mask", wanted).join(wanted, "mask").dropDuplicates(["mask"]).select("mask", F.array_distinct("shingles").alias("shingles")))
+        both = close.join(sets, "mask").join(sets.toDF("others", "theirs"), "others")
+        shared = F.size(F.array_intersect("shingles", "theirs"))
+        near = both.where(shared >= JACCARD * (F.size("shingles") + F.size("theirs") - shared))
+        near = stored(near.groupBy("form").agg(F.max(F.struct("lead_files", "lead")).getField("lead").alias("cluster")))
         joined = near if joined is None else joined.unionByName(near)
-        # who joined or was joined has its place, the rest meets again in narrower bands
+        # who joined or was joined has its place; the others that met meet again in narrower bands
         if rows is not BANDS[-1]:
-            placed = near.select("node").unionByName(near.select(F.col("cluster").alias("node"))).distinct()
-            alone = alone.join(placed, "node", "left_anti")
+            placed = near.select("form").unionByName(near.select(F.col("cluster").alias("form"))).distinct()
+            alone = stored(some.join(placed, "form", "left_anti"))
     # a lead of one band may be a follower in another
     while True:
-        up = joined.select(F.col("node").alias("cluster"), F.col("cluster").alias("_up"))
-        higher = stored(joined.join(up, "cluster", "left").select("node", F.coalesce("_up", "cluster").alias("cluster"), F.col("_up").isNotNull().alias("moved")))
-        joined = higher.select("node", "cluster")
+        up = joined.select(F.col("form").alias("cluster"), F.col("cluster").alias("_up"))
+        higher = stored(joined.join(up, "cluster", "left").select("form", F.coalesce("_up", "cluster").alias("cluster"), F.col("_up").isNotNull().alias("moved")))
+        joined = higher.select("form", "cluster")
         if higher.where("moved").isEmpty():
             return joined
 
@@ -270,28 +292,28 @@ def repeated_lines(texts: DataFrame, sources: DataFrame, key: str = "file_id", t
     """The lines of frequent clusters in texts (key, text) whose source is given by sources (key, source).
 
     One row per line: key, line_no, form (hash of source and form), form_files (files with
-    this very form), cluster (the mask it is a near copy of).  The clusters stand in at least ``min_files`` files.
+    this very form), cluster (the form it is a near copy of).  The clusters stand in at least ``min_files`` files.
     """
     one = sources.groupBy(key).agg(F.min("source").alias("source")).where("source is not null")
     raw = stored(file_lines(texts, key, text).where(F.size("lines") > 0))
     read = stored(raw.select(key, "lines").dropDuplicates([key]).join(one, key).select(key, F.xxhash64("source").alias("source"), "lines"))
-    lines = read.select(key, "source", F.explode("lines").alias("_l")).select(key, "source", F.xxhash64("source", "_l.form").alias("form"), "_l.line_no", "_l.mask", F.expr("_l.fresh & 1").alias("fresh"), F.expr("_l.fresh >> 1").alias("fresh_mask"))
-    forms_ = stored(lines.groupBy("form").agg(F.sum("fresh").alias("form_files"), F.sum("fresh_mask").alias("part"), F.min("source").alias("source"), F.min("mask").alias("mask")).withColumn("node", F.xxhash64("source", "mask")))
-    counted = forms_.groupBy("mask", "node").agg(F.min("source").alias("source"), F.sum("part").alias("files"))
-    signed = raw.select(F.explode("masks").alias("_m")).select("_m.*").dropDuplicates(["mask"])
-    nodes = stored(counted.join(signed, "mask").drop("mask"))
-    near = clusters(nodes)
-    member = nodes.select("node", "files").join(near, "node", "left").select("node", "files", F.coalesce("cluster", "node").alias("cluster"))
-    sums = member.groupBy("cluster").agg(F.max("files").alias("most"), F.sum("files").alias("sum")).where(F.col("sum") >= min_files)
+    lines = read.select(key, "source", F.explode("lines").alias("_l")).select(key, "source", F.xxhash64("source", "_l.form").alias("form"), "_l.line_no", "_l.mask", "_l.fresh", "_l.s0", "_l.s1")
+    # a form in several spellings may have several masks: the least one holds
+    counted = lines.groupBy("form").agg(F.sum("fresh").cast("int").alias("files"), F.min("source").alias("source"), F.min(F.struct("mask", "s0", "s1")).alias("_m"))
+    counted = stored(counted.select("form", "files", "source", "_m.*"))
+    near = clusters(counted, raw.select(F.explode("masks").alias("_m")).select("_m.*"))
+    member = near.unionByName(near.select(F.col("cluster").alias("form"), "cluster").distinct()).join(counted.select("form", "files"), "form")
+    sums = member.groupBy("cluster").agg(F.max("files").alias("most"), F.sum("files").alias("sum"))
     member = stored(member.join(sums, "cluster"))
-    bad = member.where(F.col("most") >= min_files).select("node", "cluster")
-    # where no mask is frequent by itself, files with several masks of the cluster count once
-    unsure = forms_.join(member.where(F.col("most") < min_files).select("node", "cluster"), "node").select("form", "cluster")
-    files = lines.where("fresh = 1").join(unsure, "form").groupBy("cluster").agg(F.count_distinct(key).alias("n")).where(F.col("n") >= min_files)
-    bad = bad.unionByName(member.join(files, "cluster", "left_semi").select("node", "cluster"))
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    named = forms_.join(bad, "node").select("form", "form_files", "cluster", salts.alias("_salt"))
-    return lines.select(key, "line_no", "form", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int").alias("_salt")).join(named, ["form", "_salt"]).drop("_salt")
+    # a form alone is frequent or not by its own files, as is a cluster with such a form in it
+    sure = counted.where(F.col("files") >= min_files).select("form", "files").join(member.select("form"), "form", "left_anti").withColumn("cluster", F.col("form"))
+    sure = sure.unionByName(member.where(F.col("most") >= min_files).select("form", "files", "cluster"))
+    # otherwise files with several forms of the cluster count once
+    unsure = member.where((F.col("most") < min_files) & (F.col("sum") >= min_files)).select("form", "files", "cluster")
+    enough = sieve(lines.where("fresh = 1").select(key, "form"), "form", unsure).join(unsure, "form").groupBy("cluster").agg(F.count_distinct(key).alias("n")).where(F.col("n") >= min_files)
+    bad = stored(sure.unionByName(unsure.join(enough.select("cluster"), "cluster", "left_semi").select("form", "files", "cluster")))
+    salted = bad.select("form", F.col("files").alias("form_files"), "cluster", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    return sieve(lines.select(key, "line_no", "form"), "form", bad).select(key, "line_no", "form", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int").alias("_salt")).join(salted, ["form", "_salt"]).drop("_salt")
 
 
 def without_lines(texts: DataFrame, bad: DataFrame, key: str = "file_id", text: str = "text") -> DataFrame:
