@@ -45,12 +45,28 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors see: ``spark.checkpoint.dir``, and one of our own only where everything runs on this machine.
+
+    Raises ValueError on a cluster without that setting: a folder of one machine would lose rows.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local[") and context.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    if not hasattr(context, "_lectern_folder"):
+        context._lectern_folder = tempfile.mkdtemp(prefix="lectern-")
+    return context._lectern_folder
+
+
 def checkpoint(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
-    """A reliable checkpoint in ``spark.checkpoint.dir``; a folder of our own only where none is set, as in tests."""
+    """A reliable checkpoint in the shared folder."""
     spark = spark or df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lectern-"))
+        context.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 
@@ -59,6 +75,28 @@ def one_per_key(df: DataFrame, key: str) -> DataFrame:
     return df.dropDuplicates([key])
 
 
+#: Bits of the bitmaps that tell which rows can be left out before a shuffle; as words of 64 a broadcast of 16 MB at most.
+SIEVE = 1 << 25
+
+
+def _marked(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    place = F.pmod(F.xxhash64(F.lit("sieve"), key), F.lit(SIEVE))
+    bits = wanted.select(place.alias("_p")).groupBy(F.shiftright("_p", 6).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_p & 63 as int))")).alias("_bits"))
+    return df.withColumn("_p", place).withColumn("_word", F.shiftright("_p", 6)).join(F.broadcast(bits), "_word", "left").withColumn("_maybe", F.coalesce(F.expr("shiftright(_bits, cast(_p & 63 as int)) & 1 = 1"), F.lit(False)))
+
+
+def sieve(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows whose key may be one of ``wanted``'s, and none lost: what a join with ``wanted`` needs, without shuffling the rest."""
+    return _marked(df, key, wanted).where("_maybe").select(*df.columns)
+
+
+def one_per_key_in_place(df: DataFrame, key: str) -> DataFrame:
+    """``one_per_key`` for wide rows: only keys are counted, and only rows whose key may be there twice are shuffled.  A null key counts as a key."""
+    twice = df.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key)
+    marked = _marked(df, key, stored(twice))
+    return marked.where("not _maybe").select(*df.columns).unionByName(marked.where("_maybe").select(*df.columns).dropDuplicates([key]))
+
+
 def numbered(df: DataFrame, group: list[str], key: str, name: str, shift: int = 12) -> DataFrame:
     """Numbers the rows of each group from 1 in the order of an integer key, without a task ever holding a whole group.
 
@@ -84,8 +122,7 @@ def latest(df: DataFrame, key: str, by: str) -> DataFrame:
 def stored(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
     """The frame written once as a table in the shared folder and read back: cuts the lineage, survives lost executors."""
     spark = spark or df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lectern-")
-    path = f"{folder.rstrip('/')}/lectern-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/lectern-{uuid.uuid4().hex}"
     df.write.parquet(path)
     # gone when the application ends
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
