@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.sources.tables import in_batches, stored
+from lectern.sources.tables import in_batches, sieve, stored
 
 MIN_FILES = 8
 MIN_CHARS = 20
@@ -56,8 +56,6 @@ BANDS = (
 JACCARD = 0.8
 #: Min-hashes that must agree before the shingles are fetched.
 AGREE = 4
-#: Bits that tell which rows can be left out before a join.
-SIEVE = 1 << 25
 #: Tasks that the lines of one form are dealt out to.
 SALTS = 16
 
@@ -243,14 +241,6 @@ def _agree(a: Column, b: Column) -> Column:
     return sum((F.shiftrightunsigned(x, 16 * k).bitwiseAND(0xFFFF) == 0).cast("int") for k in range(4))
 
 
-def sieve(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
-    """The rows whose integer key may be one of ``wanted``'s, and none lost: a bitmap of ``SIEVE`` bits in words of 64, a broadcast of that bound."""
-    place = F.pmod(F.xxhash64(F.lit("sieve"), key), F.lit(SIEVE))
-    bits = wanted.select(place.alias("_p")).groupBy(F.shiftright("_p", 6).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_p & 63 as int))")).alias("_bits"))
-    met = df.withColumn("_p", place).withColumn("_word", F.shiftright("_p", 6)).join(F.broadcast(bits), "_word")
-    return met.where(F.expr("shiftright(_bits, cast(_p & 63 as int)) & 1 = 1")).select(*df.columns)
-
-
 def clusters(forms_: DataFrame, shingles: DataFrame) -> DataFrame:
     """(form, cluster): the forms (form, source, mask, files, s0, s1) that are near copies of a lead, and that lead; others stand alone.  shingles: (mask, shingles), repeated rows or not."""
     hashes = [F.shiftrightunsigned(word, 16 * k).bitwiseAND(0xFFFF) for word in ("s0", "s1") for k in range(4)]

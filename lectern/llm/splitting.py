@@ -8,6 +8,9 @@ Strengths: blank lines 4, line ends 3, sentence ends 2, white space 1, anything
 0; the gap between two units (blank lines, a line break, the white space after a
 sentence) may be cut at any of its positions.  Inside a fence no line is blank.
 
+The same index says which boundaries would do: the weakest of the strongest boundaries of
+all windows as wide as a piece without its overlap.
+
 A piece has at most ``limit`` characters (code points), the first
 ``overlap`` of which repeat the end of the piece before; cut without the repeats and put
 together, the pieces are the text.  Lengths are linear in the text, whatever its size.
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.sources.tables import in_batches
+from lectern.sources.tables import in_batches, one_per_key_in_place
 
 LIMIT, OVERLAP = 2400, 200
 #: Names of the strengths 0 to 4; white space inside a sentence isn't a boundary of its own class.
@@ -36,79 +39,77 @@ _SENTENCE = re.compile(r"[.!?](?=\s)|[。！？]")
 _GAP = re.compile(r"\s+")
 
 
-def strengths(text: str) -> tuple[np.ndarray, list[int]]:
-    """Strength of each cut position 0 .. len(text), and the longest unit of each class of boundary (indices as strengths)."""
+def strengths(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Strength of each cut position 0 .. len(text): of the cuts that may end a piece, and of the places where units begin and end."""
     n = len(text)
     s = np.zeros(n + 1, np.uint8)
     for m in _GAP.finditer(text):
         s[m.start() : m.end() + 1] = 1
-    longest = [n] * 5
     cuts = [m.end() for m in _SENTENCE.finditer(text)]
-    s[cuts] = np.maximum(s[cuts], 2)
+    s[cuts] = 2
+    units = np.zeros(n + 1, np.uint8)
+    units[cuts] = 2
     for c in cuts:  # the white space after a sentence belongs to the gap, up to the line's end
         if c < n and text[c] in " \t　 ":
             m = _GAP.match(text, c)
-            s[c : m.end() + 1] = np.maximum(s[c : m.end() + 1], 2)
-    # lines
-    at, fenced, unit, longest_line, longest_unit, longest_sentence, k = 0, False, -1, 0, 0, 0, 0
-    unit_end = 0
+            s[c : m.end() + 1] = 2
+    at, fenced = 0, False
     for line in text.split("\n"):
         end = at + len(line)
-        if at:
-            s[at - 1] = max(s[at - 1], 3)  # before the line break
-            s[at] = max(s[at], 3)
-        longest_line = max(longest_line, len(line))
-        first = at
-        while k < len(cuts) and cuts[k] <= end:
-            longest_sentence = max(longest_sentence, cuts[k] - first)
-            first = cuts[k]
-            k += 1
-        longest_sentence = max(longest_sentence, end - first)
         bare = line.strip()
         if bare.startswith(("```", "~~~")):
             fenced = not fenced
         if not bare and not fenced:
             # the whole gap around a blank line is a boundary
-            s[max(at - 1, 0) : min(end + 1, n) + 1] = 4
-            if unit >= 0:
-                longest_unit = max(longest_unit, unit_end - unit)
-                unit = -1
+            a, b, strength = max(at - 1, 0), min(end + 1, n) + 1, 4
         else:
-            if unit < 0:
-                unit = at
-            unit_end = end
+            # before the line break and behind it
+            a, b, strength = max(at - 1, 0), at + 1, 3
+        for x in (s, units):
+            x[a:b] = np.maximum(x[a:b], strength)
         at = end + 1
-    if unit >= 0:
-        longest_unit = max(longest_unit, unit_end - unit)
-    longest[2], longest[3], longest[4] = longest_sentence, longest_line, longest_unit
-    return s, longest
+    return s, units
 
 
 class RangeMax:
-    """Sparse table: the strongest position of a window, the rightmost of equals, in constant time."""
+    """Sparse table over the strengths: the strongest position of a window, the rightmost of equals, in constant time."""
 
     def __init__(self, s: np.ndarray, widest: int) -> None:
-        self.levels = [(s.astype(np.int64) << 40) | np.arange(len(s))]
+        self.levels = [s]
         while 2 << (len(self.levels) - 1) <= min(widest, len(s)):
             below, half = self.levels[-1], 1 << (len(self.levels) - 1)
             self.levels.append(np.maximum(below[:-half], below[half:]))
 
+    @classmethod
+    def placed(cls, s: np.ndarray, widest: int) -> RangeMax:
+        """The table whose answers tell the position as well."""
+        return cls((s.astype(np.int64) << 40) | np.arange(len(s)), widest)
+
     def query(self, first: int, last: int) -> tuple[int, int]:
-        """(strength, position) in [first, last]."""
+        """(strength, position) in [first, last] of a placed table."""
         k = (last - first + 1).bit_length() - 1
         level = self.levels[k]
         best = int(max(level[first], level[last - (1 << k) + 1]))
         return best >> 40, best & ((1 << 40) - 1)
 
+    def weakest(self, first: int, last: int, width: int) -> int:
+        """The least of the strongest cuts of all windows of that width in [first, last], which is at least as wide."""
+        k = width.bit_length() - 1
+        level, count = self.levels[k], last - first + 2 - width
+        other = first + width - (1 << k)
+        return int(np.maximum(level[first : first + count], level[other : other + count]).min())
+
 
 def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> tuple[str | None, list[tuple[int, int, int]]]:
     """(coarsest boundary whose units all fit, pieces as (start, end, strength of the cut at its end))."""
     n = len(text)
     if n <= limit:
         return None, [(0, n, 4)]
-    s, longest = strengths(text)
-    coarsest = next((NAMES[k] for k in (4, 3, 2) if longest[k] <= limit - overlap), "none")
-    index = RangeMax(s, limit)
+    s, units = strengths(text)
+    # a unit is too long if so many positions in a row have no boundary of its class or a coarser one
+    fits = limit - overlap
+    coarsest = NAMES[RangeMax(units, fits).weakest(1, n - 1, fits)]
+    index = RangeMax.placed(s, limit)
     pieces, start, done = [], 0, overlap - 1
     while n - start > limit:
         strength, cut = index.query(done + 1, start + limit)
@@ -119,27 +120,31 @@ def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> tuple[s
 
 
 def split_items(df: DataFrame, key: str, text: str = "text", limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
-    """(key, boundary, pieces: array of (piece_no, start, text, ends_at)) of the rows whose text is over the limit."""
+    """(key, boundary) of the rows whose text is over the limit: the coarsest boundary by which it could be cut."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            boundary, pieces = [], []
-            for t in batch.column(1).to_pylist():
-                kind, cuts = split_text(t, limit, overlap)
-                boundary.append(kind)
-                pieces.append([{"piece_no": i, "start": a, "text": t[a:b], "ends_at": NAMES[s]} for i, (a, b, s) in enumerate(cuts, 1)])
-            kinds = pa.list_(pa.struct([("piece_no", pa.int32()), ("start", pa.int64()), ("text", pa.string()), ("ends_at", pa.string())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(boundary, pa.string()), pa.array(pieces, kinds)], names=[key, "boundary", "pieces"])
+            boundary = [split_text(t, limit, overlap)[0] for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(boundary, pa.string())], names=[key, "boundary"])
 
     long = df.select(key, text).where(F.char_length(text) > limit)
-    return in_batches(long, run, f"`{key}` {df.schema[key].dataType.simpleString()}, boundary string, pieces array<struct<piece_no:int,start:bigint,text:string,ends_at:string>>")
+    return in_batches(long, run, f"`{key}` {df.schema[key].dataType.simpleString()}, boundary string")
 
 
 def pieces(df: DataFrame, key: str, keep: list[str], text: str = "text", limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
-    """All items as pieces: key, keep, piece_no, start, text; items within the limit are one piece. Repeated rows count once."""
-    rows = df.select(key, *keep, text).dropDuplicates([key]).where(F.col(text).isNotNull())
-    short = rows.where(F.char_length(text) <= limit).select(key, *keep, F.lit(1).alias("piece_no"), F.lit(0).cast("bigint").alias("start"), text)
-    cut = split_items(df.dropDuplicates([key]), key, text, limit, overlap).select(key, F.explode("pieces").alias("_p"))
-    kept = rows.where(F.char_length(text) > limit).select(key, *keep)
-    long = cut.join(kept, key).select(key, *keep, "_p.piece_no", "_p.start", F.col("_p.text").alias(text))
-    return short.unionByName(long)
+    """All items as pieces: key, keep, piece_no, start, text, ends_at (the boundary at its end); items within the limit are one piece. Repeated rows count once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[list] = [[], [], [], [], []]
+            for i, t in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                for n, (a, b, strength) in enumerate(split_text(t, limit, overlap)[1], 1):
+                    for r, v in zip(rows, (i, n, a, t[a:b], NAMES[strength] if b < len(t) else "end"), strict=True):
+                        r.append(v)
+            at = pa.array(rows[0], pa.int64())
+            made = [pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.int64()), pa.array(rows[3], pa.string()), pa.array(rows[4], pa.string())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(batch.num_columns - 1)), *made], names=[key, *keep, "piece_no", "start", text, "ends_at"])
+
+    rows = one_per_key_in_place(df.select(key, *keep, text), key).where(F.col(text).isNotNull())
+    schema = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in [key, *keep])
+    return in_batches(rows, run, f"{schema}piece_no int, start bigint, `{text}` string, ends_at string")

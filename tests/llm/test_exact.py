@@ -174,10 +174,12 @@ def test_split_round_trip(text):
 def test_range_maximum(values, data):
     import numpy as np
 
-    index = splitting.RangeMax(np.array(values, np.uint8), len(values))
+    index = splitting.RangeMax.placed(np.array(values, np.uint8), len(values))
     a = data.draw(st.integers(0, len(values) - 1))
     b = data.draw(st.integers(a, len(values) - 1))
     assert index.query(a, b) == max((values[i], i) for i in range(a, b + 1))
+    width = data.draw(st.integers(1, b - a + 1))
+    assert splitting.RangeMax(np.array(values, np.uint8), width).weakest(a, b, width) == min(max(values[i : i + width]) for i in range(a, b + 2 - width))
 
 
 def test_split_tables(spark):
