@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm import pages as P
 from lectern.llm import residue as R
-from lectern.sources.tables import bounded_sample, in_batches
+from lectern.sources.tables import bounded_sample, in_batches, one_per_key_in_place
 
 
 def _host(url: str | None) -> str:
@@ -28,13 +30,49 @@ def _sample(fetched: DataFrame) -> list[tuple[str, str, str, list[P.Block]]]:
     return out
 
 
-def models(fetched: DataFrame) -> tuple[P.Chain, R.Judge]:
-    """The chain and the classifier, trained on the driver on a bounded sample."""
-    sample = _sample(fetched)
-    chain = P.train([(t, b) for _, _, t, b in sample[: P.TRAIN_PAGES]])
+def _place(host: str, text: str) -> int:
+    return xxhash.xxh3_64_intdigest(f"{host}\n{text}") >> 1
+
+
+def site_counts(fetched: DataFrame, pages: list[tuple[str, list[P.Block]]]) -> list[dict[str, int]]:
+    """For each of the pages (host, blocks), on how many of all pages of its host each of its texts stands.
+
+    All pages of these hosts are read; what is counted are the texts of the pages given, a bounded number of sums, added
+    up where the pages are read.  A page counts once, however often its row is repeated.
+    """
+    wanted = {_place(host, t) for host, blocks in pages for b in blocks if (t := P.recurring(b)) is not None}
+    hosts = {host for host, _ in pages}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: Counter[int] = Counter()
+        for batch in batches:
+            for url, data, content_type in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                host = _host(url)
+                if host not in hosts:
+                    continue
+                raw = P.read(data)
+                if P.is_html(content_type, raw):
+                    texts = {t for b in P.parse(raw)[1] if (t := P.recurring(b)) is not None}
+                    sums.update(wanted.intersection(_place(host, t) for t in texts))
+        yield pa.RecordBatch.from_arrays([pa.array([*sums], pa.int64()), pa.array([*sums.values()], pa.int64())], names=["place", "n"])
+
+    one = one_per_key_in_place(fetched.select("fetch_id", "url", "bytes", "content_type"), "fetch_id")
+    total = in_batches(one.select("url", "bytes", "content_type"), run, "place bigint, n bigint").groupBy("place").agg(F.sum("n").alias("n"))
+    counts = {r[0]: r[1] for r in total.collect()} if wanted else {}
+    return [{t: counts.get(_place(host, t), 0) for b in blocks if (t := P.recurring(b)) is not None} for host, blocks in pages]
+
+
+def _trained(fetched: DataFrame, sample: list[tuple[str, str, str, list[P.Block]]]) -> tuple[P.Chain, R.Judge]:
+    first = sample[: P.TRAIN_PAGES]
+    chain = P.train([(t, b) for _, _, t, b in first], site_counts(fetched, [(host, b) for host, _, _, b in first]))
     return chain, R.train_pages([(t, b, raw) for _, raw, t, b in sample], P.Reader(chain))
 
 
+def models(fetched: DataFrame) -> tuple[P.Chain, R.Judge]:
+    """The chain and the classifier, trained on the driver on a bounded sample; how often texts recur on a site is counted over all its pages."""
+    return _trained(fetched, _sample(fetched))
+
+
 def judged_pages(fetched: DataFrame, with_text: bool = False) -> DataFrame:
     """One row per HTML answer (repeated rows included): fetch_id, kind of residue or null, furniture (numbers of blocks outside the main body); on demand title and text of the main body."""
     chain, judge = models(fetched)
@@ -91,8 +129,7 @@ def held_out(host: str) -> bool:
 def holdout(fetched: DataFrame) -> DataFrame:
     """(label, predicted, sentences) over all pages of a fifth of the hosts, of which neither chain nor classifier has seen any."""
     sample = [x for x in _sample(fetched) if not held_out(x[0])]
-    chain = P.train([(t, b) for _, _, t, b in sample[: P.TRAIN_PAGES]])
-    judge = R.train_pages([(t, b, raw) for _, raw, t, b in sample], P.Reader(chain))
+    chain, judge = _trained(fetched, sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = P.Reader(chain)

@@ -4,8 +4,8 @@ Method: a linear-chain conditional random field over the DOM's leaf blocks, on
 ancestor-tag and text features, trained on labelled pages, decoded by Viterbi.
 
 Labels come from the pages themselves: a labeller marks blocks it is sure of
-(landmarks such as nav and footer, text that recurs on several pages of the sample, the
-page's title, prose beside it) and leaves the rest open; training sums over open
+(landmarks such as nav and footer, text that recurs on several pages of the site, counted
+over all its pages, the page's title, prose beside it) and leaves the rest open; training sums over open
 blocks.  So pages that say what they are teach the words and positions by which
 pages with meaningless classes are decoded.  Training sees at most ``TRAIN_PAGES`` pages
 (a fixed bound, least key hashes first); decoding covers every page in full, where it
@@ -108,10 +108,12 @@ def parse(page: str) -> tuple[str, list[Block]]:
             block.linked += len(raw.strip())
 
     for m in _TAG.finditer(page):
-        if m.start() > at:
-            add(page[at : m.start()])
-        at = m.end()
-        closing, tag, attributes = m.group(1), m.group(2).lower(), m.group(3)
+        start, end = m.span()
+        if start > at:
+            add(page[at:start])
+        at = end
+        closing, tag, attributes = m.groups()
+        tag = tag.lower()
         if tag in BLOCKS:
             if closing:
                 if block is not None and block.tag == tag:
@@ -219,6 +221,7 @@ class Reader:
         # of two labels only the difference counts
         self.weight = (chain.weights[:, MAIN] - chain.weights[:, FURNITURE]).tolist()
         self.names: dict[str, float] = {}
+        self.words: dict[str | tuple, float] = {}
         self.texts: dict[tuple[str, str], float] = {}
         self.places: dict[tuple, float] = {}
 
@@ -231,7 +234,35 @@ class Reader:
             total += w
         return total
 
+    def text_score(self, tag: str, text: str) -> float:
+        """The score of ``text_names``, from the weights of words and pairs that are kept under the words themselves."""
+        low = text.lower()
+        if not low.isascii() and _WIDE.search(low):
+            return self._score(text_names(tag, text))
+        words, known, total, number = _WORD.findall(low), self.words, 0.0, False
+        for w in set(words):
+            if w[0].isdigit():
+                number = True
+                continue
+            x = known.get(w)
+            if x is None:
+                x = known[w] = self.weight[bucket(f"w={w}")]
+            total += x
+        for pair in set(zip(words[:6], words[1:6], strict=False)):
+            x = known.get(pair)
+            if x is None:
+                x = known[pair] = self.weight[bucket(f"b={pair[0]} {pair[1]}")]
+            total += x
+        shape = (tag, text[:1].isupper(), text[-1:] in ".!?。！？:", min(len(words), 60).bit_length(), number)
+        x = known.get(shape)
+        if x is None:
+            names = [f"t={tag}", f"f={tag}/{shape[1]}/{shape[2]}", f"n={tag}/{shape[3]}"] + ["w=0"] * number
+            x = known[shape] = sum(self.weight[bucket(n)] for n in names)
+        return total + x
+
     def labels(self, title: str, blocks: list[Block]) -> list[int]:
+        if len(self.words) > 500_000:
+            self.words.clear()
         if len(self.texts) > 100_000:
             self.texts.clear()
         if len(self.names) > 500_000:
@@ -242,7 +273,7 @@ class Reader:
         for b, key in zip(blocks, shapes(title, blocks), strict=True):
             text = self.texts.get((b.tag, b.text))
             if text is None:
-                text = self.texts[b.tag, b.text] = self._score(text_names(b.tag, b.text))
+                text = self.texts[b.tag, b.text] = self.text_score(b.tag, b.text)
             place = self.places.get(key)
             if place is None:
                 place = self.places[key] = self._score(shape_names(key))
@@ -253,21 +284,31 @@ class Reader:
 _DIGIT = re.compile(r"\d+")
 
 
-def sure_labels(pages: list[tuple[str, list[Block]]], repeated: int = 4) -> list[list[int]]:
-    """The labeller: FURNITURE, MAIN, or -1 where it isn't sure."""
-    seen: Counter[str] = Counter()
-    for _, blocks in pages:
-        seen.update({_DIGIT.sub("0", b.text.lower()) for b in blocks if len(b.text) > 2 and b.tag != "pre"})
+def recurring(block: Block) -> str | None:
+    """What a block repeats where it recurs: its text with numbers as 0; None where that says nothing."""
+    return _DIGIT.sub("0", block.text.lower()) if len(block.text) > 2 and block.tag != "pre" else None
+
+
+def sure_labels(pages: list[tuple[str, list[Block]]], counts: list[dict[str, int]] | None = None, repeated: int = 4) -> list[list[int]]:
+    """The labeller: FURNITURE, MAIN, or -1 where it isn't sure.
+
+    ``counts`` says for each page on how many pages of its site a text stands; without it, the pages given are taken for one site.
+    """
+    if counts is None:
+        whole: Counter[str] = Counter()
+        for _, blocks in pages:
+            whole.update({t for b in blocks if (t := recurring(b)) is not None})
+        counts = [whole] * len(pages)
     out = []
-    for title, blocks in pages:
+    for (title, blocks), seen in zip(pages, counts, strict=True):
         places = shapes(title, blocks)
         labels = []
         # a page without any prose of its own may be an error page, whose text recurs as furniture does
-        prose = any(b.tag in {"p", "pre"} and len(b.text) > 60 and not b.linked and seen[_DIGIT.sub("0", b.text.lower())] < repeated for b in blocks)
+        prose = any(b.tag in {"p", "pre"} and len(b.text) > 60 and not b.linked and seen.get(_DIGIT.sub("0", b.text.lower()), 0) < repeated for b in blocks)
         landmarks = any(b.flags & (1 | 4 | 8) for b in blocks)
         for b, key in zip(blocks, places, strict=True):
             side, near, link = key[3], key[4], key[5]
-            same = seen[_DIGIT.sub("0", b.text.lower())]
+            same = seen.get(_DIGIT.sub("0", b.text.lower()), 0)
             inside = b.flags & (32 | 64 | 512) and near in {"same", "list", "in"}
             if b.tag == "h1" or (side == "~" and inside and not b.flags & 287):
                 y = MAIN
@@ -296,8 +337,8 @@ def sure_labels(pages: list[tuple[str, list[Block]]], repeated: int = 4) -> list
     return out
 
 
-def train(pages: list[tuple[str, list[Block]]]) -> Chain:
-    labels = sure_labels(pages)
+def train(pages: list[tuple[str, list[Block]]], counts: list[dict[str, int]] | None = None) -> Chain:
+    labels = sure_labels(pages, counts)
     data = []
     for (title, blocks), ys in zip(pages, labels, strict=True):
         keys = shapes(title, blocks)

@@ -10,7 +10,7 @@ of most of its text.  A crawl's entry is a case if the whole of it, or what
 stands in place of the url or the reason, is residue.
 
 Bound: the classifier sees at most ``SAMPLE_PAGES`` pages and ``SAMPLE_CRAWLS``
-crawls (least key hashes).  All rows are judged, in full, where they are read.
+crawls (least key hashes), and of their content sentences ``CONTENT_PER_RESIDUE`` for each of residue.  All rows are judged, in full, where they are read.
 
 Results: null, empty and blank texts, answers that aren't HTML and pages without any main text
 are no cases, unless a page has nothing but its noscript text and that demands scripts.
@@ -29,6 +29,8 @@ from lectern.llm.crf import DIM, bucket
 from lectern.llm.pages import Block, Reader, clean
 
 SAMPLE_PAGES, SAMPLE_CRAWLS = 3000, 5000
+#: Of the sample's sentences that are content, as many are fitted as this many for each of residue, and this many at least.
+CONTENT_PER_RESIDUE, LEAST_CONTENT = 3, 4000
 KINDS = ["content", "placeholder", "filler", "error", "script", "aside"]
 CONTENT, PLACEHOLDER, FILLER, ERROR, SCRIPT, ASIDE = range(6)
 
@@ -233,7 +235,7 @@ def page_sentences(pages: Iterable[tuple[str, list[Block], list[int], str]]) ->
 def page_examples(pages: Iterable[tuple[str, list[Block], list[int], str]]) -> list[tuple[str, str, int]]:
     """Examples to train on: all residue, and content in proportion."""
     out, contents = page_sentences(pages)
-    return out + contents[: max(4000, 3 * len(out))]
+    return out + contents[: max(LEAST_CONTENT, CONTENT_PER_RESIDUE * len(out))]
 
 
 #: Examples of each kind in the words of no site, so that a kind without a case in the sample isn't unknown.
