@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -34,10 +35,27 @@ def ship(spark: SparkSession) -> None:
     context._lectern_shipped = True
 
 
+#: A scan of so few splits is dealt out to all cores before Python sees it: what that moves is bounded by these splits.
+HANDFUL = 4
+#: What a plan may consist of for its splits to be those of its scan.
+_NARROW = frozenset("Project Filter LogicalRelation Relation Generate".split())
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows of a handful of splits over all cores; anything larger, and what isn't just read, stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if cores <= HANDFUL:
+        return df
+    nodes = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    if not all(re.sub(r"^[\s:+-]*", "", n).split(" ")[0].split("[")[0] in _NARROW for n in nodes if n.strip()):
+        return df
+    return df.repartition(cores) if df.rdd.getNumPartitions() <= HANDFUL else df
+
+
 def in_batches(df: DataFrame, run, schema: str) -> DataFrame:
-    """``run`` over the Arrow batches of the rows, where they are, with this package at hand."""
+    """``run`` over the Arrow batches of the rows, with this package at hand; where the rows are, but for scans of a handful of splits."""
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    return spread(df).mapInArrow(run, schema)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
