@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -132,16 +133,45 @@ def iso_time(t: Column) -> Column:
 _OFFSET, _PRIME, _MASK = 0xCBF29CE484222325, 0x100000001B3, (1 << 64) - 1
 
 
-def fnv1a(data: bytes) -> int:
-    """64-bit FNV-1a."""
-    h = _OFFSET
+def fnv1a(data: bytes, h: int = _OFFSET) -> int:
+    """64-bit FNV-1a, from a hash of what comes before."""
     for b in data:
         h = ((h ^ b) * _PRIME) & _MASK
     return h
 
 
+#: Texts that are folded side by side at least; fewer are folded one by one.
+_SIDE_BY_SIDE = 32
+
+
+def fnv1a_all(texts: list[bytes]) -> list[int]:
+    """FNV-1a of many texts: byte position by byte position over all texts that are long enough, longest first."""
+    order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
+    lengths = np.array([len(texts[i]) for i in order], np.int64)
+    joined = np.frombuffer(b"".join(texts[i] for i in order), np.uint8).astype(np.uint64)
+    starts = np.concatenate([[0], np.cumsum(lengths)])
+    h = np.full(len(texts), _OFFSET, np.uint64)
+    at, active, prime = 0, int((lengths > 0).sum()), np.uint64(_PRIME)
+    with np.errstate(over="ignore"):
+        while active >= _SIDE_BY_SIDE:
+            # as many texts as now reach to the end of the shortest of them
+            end = int(lengths[active - 1])
+            for at in range(at, end):
+                h[:active] = (h[:active] ^ joined[starts[:active] + at]) * prime
+            at = end
+            active = int((lengths > at).sum())
+    out = [0] * len(texts)
+    for k, i in enumerate(order):
+        out[i] = fnv1a(texts[i][at:], int(h[k])) if lengths[k] > at else int(h[k])
+    return out
+
+
 @pandas_udf(StringType())
 def fingerprint(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """16 hex digits of 64-bit FNV-1a over the UTF-8 bytes; wrapping arithmetic has no counterpart in SQL. Null stays null."""
+    """16 hex digits of 64-bit FNV-1a over the UTF-8 bytes. Null stays null."""
     for s in texts:
-        yield s.map(lambda t: None if t is None else f"{fnv1a(t.encode('utf-8', 'surrogatepass')):016x}")
+        there = s.notna()
+        hashes = fnv1a_all([t.encode("utf-8", "surrogatepass") for t in s[there]])
+        out = pd.Series([None] * len(s), index=s.index, dtype=object)
+        out[there] = [f"{h:016x}" for h in hashes]
+        yield out

@@ -12,7 +12,7 @@ from lectern.operators import report as P
 from lectern.operators import snapshots as N
 from lectern.operators import sources as S
 from lectern.plans.base import Registry
-from lectern.plans.texts import _BARE, _TOKENS
+from lectern.plans.texts import FOLD, _BARE, _TOKENS
 from lectern.sources.tables import one_per_key, table
 
 R = Registry()
@@ -103,10 +103,10 @@ _SKIP = "|".join(S.SKIP_DIRS)
 
 @R.add(
     rf"""WITH {_REPO}, k AS (SELECT repo, file, {_RANK} AS rank FROM p WHERE NOT regexp_matches(file, '(?:^|/)\.') AND NOT regexp_matches(file, '(?:^|/)(?:{_SKIP})/') AND regexp_matches(lower(file), '\.(?:{"|".join(S.DOC_EXTENSIONS)})$')),
-    n AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY rank, file) AS place, count(*) OVER (PARTITION BY repo) AS total FROM k) SELECT repo, file, rank, place, greatest(total - 20, 0) AS dropped FROM n WHERE place <= 20"""
+    n AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY rank, file) AS place, count(*) OVER (PARTITION BY repo) AS total FROM k) SELECT repo, file, rank, place, greatest(total - 200, 0) AS dropped FROM n WHERE place <= 200"""
 )
 def repo_select(spark: SparkSession, d: str) -> DataFrame:
-    return S.repo_select(_files(spark, d), "repo", "file", most=20)
+    return S.repo_select(_files(spark, d), "repo", "file")
 
 
 @R.add(
@@ -140,15 +140,16 @@ def _extracted(spark: SparkSession, d: str) -> DataFrame:
     return e.join(_reports(spark, d).select("file_id", F.coalesce("origin", F.lit("(local)")).alias("source")), "file_id")
 
 
-@R.add(
-    f"""WITH {_F}, e AS (SELECT DISTINCT ON (file_id) * FROM extractions), j AS (SELECT coalesce(origin, '(local)') AS source, regexp_replace(text, '[<INVISIBLE>]', '', 'g') AS t, {_BARE.format("coalesce(text, '')")} <> '' AS ok, coalesce(len(e.pages_needing_ocr), 0) > 0 AS look FROM e JOIN f USING (file_id))
+_RUN = f"""WITH {_F}, e AS (SELECT DISTINCT ON (file_id) * FROM extractions), j AS (SELECT coalesce(origin, '(local)') AS source, regexp_replace(text, '[<INVISIBLE>]', '', 'g') AS t, {_BARE.format("coalesce(text, '')")} <> '' AS ok, coalesce(len(e.pages_needing_ocr), 0) > 0 AS look FROM e JOIN f USING (file_id))
     SELECT source, count(*) FILTER (ok OR look) AS documents, CAST(coalesce(sum(length(t)) FILTER (ok), 0) AS BIGINT) AS characters, CAST(coalesce(sum({_TOKENS.format('t')}) FILTER (ok), 0) AS BIGINT) AS estimated_tokens, count(*) FILTER (NOT ok AND NOT look) AS failures, count(*) FILTER (look) AS visual FROM j GROUP BY source"""
-)
+
+
+@R.add(_RUN)
 def run_report(spark: SparkSession, d: str) -> DataFrame:
     return P.run_report(_extracted(spark, d), "source", "file_id")
 
 
-@R.add()
+@R.add(f"SELECT source, CAST(json_object('source', source, 'documents', documents, 'characters', characters, 'estimated_tokens', estimated_tokens, 'failures', failures, 'visual', visual) AS VARCHAR) AS report FROM ({_RUN})")
 def run_report_json(spark: SparkSession, d: str) -> DataFrame:
     """The report as JSON, one object per source; the figures are those of run_report."""
     return P.as_json(P.run_report(_extracted(spark, d), "source", "file_id"))
@@ -160,9 +161,11 @@ def visual_reading(spark: SparkSession, d: str) -> DataFrame:
     return P.visual_requests(pages.join(_reports(spark, d).select("file_id", "path"), "file_id"), "path")
 
 
-@R.add()
+@R.add(
+    f"""WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[<INVISIBLE>]', '', 'g') AS c FROM documents)
+    SELECT doc_id, n - length(c) AS invisible_codepoints_removed, {FOLD.format('c')} AS content_hash, length(c) AS characters, {_TOKENS.format('c')} AS estimated_tokens FROM t"""
+)
 def doc_facts(spark: SparkSession, d: str) -> DataFrame:
-    """Holds the fingerprint; its parts are checked one by one in other queries."""
     return P.doc_facts(table(spark, d, "documents").select("doc_id", "text"), "doc_id").drop("text")
 
 
@@ -190,7 +193,7 @@ _SITE = "f AS (SELECT DISTINCT crawl_id, url FROM fetched), n AS (SELECT crawl_i
 @R.add(
     f"""WITH RECURSIVE {_SITE}, l AS (SELECT a.crawl_id, a.url AS source, b.url AS target FROM n a JOIN n b ON a.crawl_id = b.crawl_id AND b.n IN (2 * a.n, 2 * a.n + 1, 1)),
     w AS (SELECT crawl_id AS crawl, url AS page, 0 AS depth FROM n WHERE n = 1 UNION SELECT l.crawl_id, l.target, w.depth + 1 FROM w JOIN l ON l.crawl_id = w.crawl AND l.source = w.page WHERE w.depth < 3),
-    g AS (SELECT crawl, page, min(depth) AS depth FROM w GROUP BY crawl, page) SELECT g.crawl, g.page, g.depth, n.n AS place FROM g JOIN n ON n.crawl_id = g.crawl AND n.url = g.page WHERE n.n <= 12"""
+    g AS (SELECT crawl, page, min(depth) AS depth FROM w GROUP BY crawl, page) SELECT g.crawl, g.page, g.depth, n.n AS place FROM g JOIN n ON n.crawl_id = g.crawl AND n.url = g.page WHERE n.n <= 50"""
 )
 def crawl_bfs(spark: SparkSession, d: str) -> DataFrame:
     """Each crawl's pages as a binary tree with links back to its root."""
@@ -201,7 +204,7 @@ def crawl_bfs(spark: SparkSession, d: str) -> DataFrame:
     a = n.select(F.col("crawl_id").alias("crawl"), F.col("url").alias("source"), F.explode(F.array(F.col("n") * 2, F.col("n") * 2 + 1, F.lit(1))).alias("m"))
     b = n.select(F.col("crawl_id").alias("crawl"), F.col("url").alias("target"), F.col("n").alias("m"))
     links = a.join(b, ["crawl", "m"]).select("crawl", "source", F.col("m").alias("ordinal"), "target")
-    return W.breadth_first(n.where("n = 1").select(F.col("crawl_id").alias("crawl"), F.col("url").alias("page")), links, 3, 12)
+    return W.breadth_first(n.where("n = 1").select(F.col("crawl_id").alias("crawl"), F.col("url").alias("page")), links)
 
 
 @R.add(
@@ -242,12 +245,12 @@ def crawl_summary(spark: SparkSession, d: str) -> DataFrame:
 _KEY = "CASE WHEN origin IS NULL OR origin = path THEN path ELSE origin || ' ' || path END"
 _SNAP = f"""{_F}, cut AS (SELECT min(extracted_at) + (max(extracted_at) - min(extracted_at)) / 2 AS t FROM f),
   b AS (SELECT DISTINCT ON (key) * FROM (SELECT {_KEY} AS key, content_hash, estimated_tokens, extracted_at, file_id FROM f, cut WHERE extracted_at <= t) ORDER BY key, extracted_at DESC, file_id DESC),
-  a AS (SELECT DISTINCT ON (key) * FROM (SELECT {_KEY} AS key, content_hash, estimated_tokens, extracted_at, file_id FROM f WHERE file_id % 13 <> 0) ORDER BY key, extracted_at DESC, file_id DESC),
+  a AS (SELECT DISTINCT ON (key) * FROM (SELECT {_KEY} AS key, content_hash, estimated_tokens, extracted_at, file_id FROM f) ORDER BY key, extracted_at DESC, file_id DESC),
   c AS (SELECT coalesce(a.key, b.key) AS key, CASE WHEN b.key IS NULL THEN 'added' WHEN a.key IS NULL THEN 'removed' ELSE 'changed' END AS change FROM a FULL JOIN b USING (key) WHERE a.key IS NULL OR b.key IS NULL OR a.content_hash IS DISTINCT FROM b.content_hash)"""
 
 
 def _snapshots(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """The sources as read by half time, and at the end, when some are gone."""
+    """The sources as read by half time, and at the end."""
     f = _reports(spark, d).select("file_id", N.identity(F.col("origin"), F.col("path")).alias("key"), "content_hash", "estimated_tokens", "extracted_at")
     ends = f.agg(F.min("extracted_at").alias("lo"), F.max("extracted_at").alias("hi")).select((F.col("lo") + (F.col("hi") - F.col("lo")) / 2).alias("t"))
 
@@ -256,7 +259,7 @@ def _snapshots(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
         return rows.groupBy("key").agg(newest.alias("v")).select("key", "v.content_hash", "v.estimated_tokens")
 
     # one row with the time that divides them
-    return last(f.join(ends, F.col("extracted_at") <= F.col("t"), "left_semi")), last(f.where("file_id % 13 != 0"))
+    return last(f.join(ends, F.col("extracted_at") <= F.col("t"), "left_semi")), last(f)
 
 
 @R.add(f"WITH {_SNAP} SELECT key, change FROM c")
@@ -280,10 +283,20 @@ def snapshot_shown(spark: SparkSession, d: str) -> DataFrame:
 # examinations
 
 
-@R.add()
+_LINES = "string_split(CASE WHEN right(text, 1) = chr(10) THEN left(text, length(text) - 1) ELSE text END, chr(10))"
+
+
+@R.add(
+    f"""WITH x AS (SELECT doc_id, {_LINES} AS l FROM documents WHERE text <> ''), l AS (SELECT doc_id, (ceil(len(l) / 4.0))::BIGINT AS stride, unnest(l) AS raw, generate_subscripts(l, 1) AS n FROM x),
+    t AS (SELECT doc_id, (n - 1) // stride AS part, n, CASE WHEN right(raw, 1) = chr(13) THEN left(raw, length(raw) - 1) ELSE raw END AS line FROM l),
+    c AS (SELECT *, len(regexp_extract_all(regexp_replace(line, '[<CJK>]', ' ', 'g'), '[^<WS>]+')) AS words, len(regexp_extract_all(line, '[<CJK>]')) AS wide FROM t),
+    s AS (SELECT *, coalesce(sum(words) OVER w, 0) AS before_words, coalesce(sum(wide) OVER w, 0) AS before_wide FROM c WINDOW w AS (PARTITION BY doc_id, part ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    e AS (SELECT doc_id, part, string_agg(line || chr(10), '' ORDER BY n) AS excerpt FROM s WHERE floor(before_words / 0.75 + before_wide / 1.5) <= {E.EXCERPT_TOKENS} GROUP BY doc_id, part)
+    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY part) AS excerpt_no, md5(excerpt) AS excerpt FROM e WHERE regexp_matches(excerpt, '[^<WS>]')"""
+)
 def excerpts(spark: SparkSession, d: str) -> DataFrame:
-    """Four excerpts of each document; tested against a plain fold."""
-    return E.excerpts(table(spark, d, "documents"), "doc_id", 4, most=40)
+    """Four excerpts of each document."""
+    return E.excerpts(table(spark, d, "documents"), "doc_id", 4).select("doc_id", "excerpt_no", F.md5("excerpt").alias("excerpt"))
 
 
 @R.add(

@@ -78,6 +78,54 @@ def _pages(spark: SparkSession, d: str) -> DataFrame:
     return f.where(page).select("fetch_id", "url", T.lossy(F.col("bytes")).alias("html"))
 
 
+# pages built from chunks: all of it valid text, in elements whose place is known
+
+_SAFE = "coalesce(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '')"
+_ARTICLE = f"""'<article><h1>' || {_SAFE.format('title')} || '</h1><pre class="c">' || substr({_SAFE.format('title')}, 1, 20) || '<NL>  x &lt; y</pre><p>' || {_SAFE.format('text')} || '</p>' || '{{0}}' || '</article>'"""
+_HEAD = f"""'<!doctype html><html><head>' || CASE WHEN chunk_id % 3 = 0 THEN '<TITLE lang=x> ' || {_SAFE.format('title')} || ' </TITLE>' ELSE '' END || '<style>p {{}}</style></head>'"""
+_PAGE = f"""{_HEAD} || '<body class="x"><nav><ul><li><a href="/a">Menu</a></li></ul></nav>' || {_ARTICLE.format('<div class="sidebar-left"><div>aside</div></div>')} || '<p>after</p><footer>foot</footer></body></html>'"""
+_URL = "'https://h.example/p/' || chunk_id"
+
+
+def _built(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "chunks").select("chunk_id", F.expr(_URL).alias("url"), F.expr(_PAGE.replace("<NL>", "\\n")).alias("html"))
+
+
+_BUILT = "b AS (SELECT DISTINCT chunk_id, {0} AS html, title FROM chunks), s AS (SELECT chunk_id, title, {1} AS t, html FROM b)"
+_CONTENT = (
+    "c AS (SELECT DISTINCT chunk_id, title, {0} AS article FROM chunks), l AS (SELECT *, '<body class=\"x\">' || chr(10) || article || '<p>after</p>' || chr(10) || '</body>' AS body FROM c), "
+    "m AS (SELECT chunk_id, title, {1} AS short, {2} AS whole FROM l), n AS (SELECT chunk_id, title, CASE WHEN length(short) >= 200 THEN short ELSE whole END AS t FROM m)"
+).format(_ARTICLE.format("<NL>").replace("'<NL>'", "chr(10)"), _strip("article"), _strip("body"))
+_NAME = "nullif({0}, '')".format(_BARE.format("regexp_replace(coalesce(title, ''), '[<WS>]+', ' ', 'g')"))
+
+
+def _lined(sql: str) -> str:
+    return sql.replace("<NL>", "' || chr(10) || '").replace("<LINE_WS>", _LINE_WS)
+
+
+@R.add(_lined(f"WITH {_BUILT.format(_PAGE, _strip('html'))} SELECT chunk_id, md5(t) AS stripped FROM s"))
+def html_code_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Pages with a code block each, stripped: the block stays as it is, fenced."""
+    return _built(spark, d).select("chunk_id", F.md5(H.strip(F.col("html"))).alias("stripped")).distinct()
+
+
+@R.add(f"SELECT DISTINCT chunk_id, {_NAME} AS title FROM chunks")
+def html_title_built(spark: SparkSession, d: str) -> DataFrame:
+    """Titles of pages that have a title element or only a heading."""
+    return _built(spark, d).select("chunk_id", H.title(F.col("html")).alias("title")).distinct()
+
+
+@R.add(_lined(f"WITH {_CONTENT} SELECT chunk_id, md5(t) AS text FROM n"))
+def html_content_built(spark: SparkSession, d: str) -> DataFrame:
+    """The content of pages: the article, or the whole body where that is a stub, without what surrounds it."""
+    return _built(spark, d).select("chunk_id", F.md5(H.main_content("html")).alias("text")).distinct()
+
+
+@R.add(_lined(f"WITH {_CONTENT} SELECT chunk_id, md5('# ' || coalesce({_NAME}, '/p/' || chunk_id) || chr(10) || chr(10) || 'source: ' || {_URL} || chr(10) || chr(10) || t) AS text FROM n"))
+def page_text_built(spark: SparkSession, d: str) -> DataFrame:
+    return _built(spark, d).select("chunk_id", F.md5(T.page_header(H.title(F.col("html")), F.col("url"), H.main_content("html"))).alias("text")).distinct()
+
+
 @R.add()
 def html_title(spark: SparkSession, d: str) -> DataFrame:
     """Over bytes that aren't all UTF-8, which the SQL engine can't decode; tested against the Python model."""
