@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -17,56 +21,48 @@ AGENT = "lectern"
 MOST_PAGES, DEPTH, MOST_SITEMAPS = 50, 3, 5
 
 
+def _records(body: str) -> list[tuple[str, str]]:
+    """(field, value) of the lines that have both, without remarks."""
+    parts = (line.partition("#")[0].partition(":") for line in body.split("\n"))
+    return [(field.strip().lower(), value.strip()) for field, colon, value in parts if colon]
+
+
 def robots_rules(body: str, agent: str = AGENT) -> list[tuple[str, bool]]:
-    """(pattern, allow) of the groups that name us, else of those for everyone."""
-    ours: list[tuple[str, bool]] = []
-    everyone: list[tuple[str, bool]] = []
-    named, agents, collecting = False, [], False
-    for line in body.split("\n"):
-        field, colon, value = line.split("#", 1)[0].strip().partition(":")
-        if not colon:
-            continue
-        field, value = field.strip().lower(), value.strip()
+    """(pattern, allow) of the groups that name us, else of those for everyone.
+
+    A group is a run of agents and what follows up to the next run; rules before the first belong to nobody.
+    """
+    records = _records(body)
+    names = [field == "user-agent" for field, _ in records]
+    # a group begins at an agent that comes after something else
+    group = [*accumulate(int(name and not before) for name, before in zip(names, [False, *names], strict=False))]
+    agents, rules = defaultdict(set), []
+    for g, (field, value) in zip(group, records, strict=True):
         if field == "user-agent":
-            agents = [*agents, value.lower()] if collecting else [value.lower()]
-            collecting = True
-            continue
-        collecting = False
-        if field not in {"allow", "disallow"} or (field == "disallow" and not value):
-            continue
-        for a in agents:
-            if a == "*":
-                everyone.append((value, field == "allow"))
-            elif agent.startswith(a):
-                named = True
-                ours.append((value, field == "allow"))
-    return ours if named else everyone
-
-
-def rule_length(pattern: str, path: str) -> int | None:
-    """How specific a matching rule is; each star takes the first place where the rest can go on, without going back."""
-    end = pattern.endswith("$")
-    body = pattern.removesuffix("$")
-    first, *parts = body.split("*")
-    if not path.startswith(first):
-        return None
-    rest, open_end = path[len(first) :], False
-    for part in parts:
-        open_end = not part
-        if part:
-            at = rest.find(part)
-            if at < 0:
-                return None
-            rest = rest[at + len(part) :]
-    if end and rest and not open_end:
-        return None
-    return len(body.replace("*", "").encode())
+            agents[g].add(value.lower())
+        elif field == "allow" or (field == "disallow" and value):
+            rules.append((g, value, field == "allow"))
+    own = {g for g, of in agents.items() if any(agent.startswith(a) for a in of if a != "*")}
+    own = own if any(g in own for g, *_ in rules) else {g for g, of in agents.items() if "*" in of}
+    return [(pattern, allow) for g, pattern, allow in rules if g in own]
+
+
+@lru_cache(10_000)
+def compiled(pattern: str) -> tuple[re.Pattern[str], int]:
+    """A rule as an expression, and how specific it is: the bytes it spells out.
+
+    A star takes the first place where the next part stands, for good; a sign at the end asks for the path's end, unless a star stands before it.
+    """
+    spelled = pattern.removesuffix("$")
+    head, *parts = map(re.escape, spelled.split("*"))
+    closed = pattern.endswith("$") and not spelled.endswith("*")
+    return re.compile(head + "".join(f"(?>.*?{p})" for p in parts if p) + r"\Z" * closed, re.S), len(spelled.replace("*", "").encode())
 
 
 def allowed(rules: list[tuple[str, bool]], path: str) -> bool:
-    """The longest matching rule decides, allowing on a tie; no rule allows."""
-    best = max(((n, allow) for p, allow in rules if (n := rule_length(p, path)) is not None), default=(0, True))
-    return best[1]
+    """The most specific rule that matches decides, allowing on a tie; no rule allows."""
+    matching = [(size, allow) for pattern, allow in rules for rule, size in [compiled(pattern)] if rule.match(path)]
+    return max(matching)[1] if matching else True
 
 
 def robots_allow(urls: DataFrame, robots: DataFrame, key: str, origin: str = "origin", path: str = "path", body: str = "body") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.text import WS, lines, trim
-from lectern.operators.chunking import lines_of
+from lectern.operators.chunking import counts, lines_of, tokens
 from lectern.sources.tables import in_batches
 
 #: Tokens per excerpt, and of a skill in front of a model.
@@ -26,10 +26,10 @@ def excerpts_of(text: str, count: int, most: int = EXCERPT_TOKENS) -> list[str]:
         # the estimate grows by whole lines, so it is kept as a sum of words and wide characters
         taken, words, wide = [], 0, 0
         for line in rows[start : start + stride]:
-            if int(words / 0.75 + wide / 1.5) > most:
+            if tokens(words, wide) > most:
                 break
             taken.append(line)
-            w, c = _counts(line)
+            w, c = counts(line)
             words, wide = words + w, wide + c
         excerpt = "".join(x + "\n" for x in taken)
         if excerpt.strip():
@@ -37,12 +37,6 @@ def excerpts_of(text: str, count: int, most: int = EXCERPT_TOKENS) -> list[str]:
     return out
 
 
-def _counts(line: str) -> tuple[int, int]:
-    from lectern.operators.chunking import _CJK, _WORD
-
-    return sum(1 for _ in _WORD.finditer(_CJK.sub(" ", line))), len(_CJK.findall(line))
-
-
 def excerpts(df: DataFrame, key: str, count: int, text: str = "text", most: int = EXCERPT_TOKENS) -> DataFrame:
     """(key, excerpt_no, excerpt)"""
 
