@@ -9,19 +9,19 @@ from lectern.functions.text import fnv1a, sanitize
 from lectern.model import Completer, complete_rows, stub
 from lectern.operators import chunking, report, skills, snapshots, sources
 from lectern.sources.locks import Lock, Options
-from lectern.sources.readers import Reader, read_files, read_skills
+from lectern.sources.readers import Reader, read_skills
+from lectern.sources.resolve import resolve as read_sources
 
 
-def extract(spark: SparkSession, paths: list[str], glob: str | None = None, pdf: Reader | None = None) -> DataFrame:
-    """One row per file: source, path, method, text, error and its facts.  A file that can't be read is a row with an error."""
-    if not paths:
-        raise ValueError("no sources")
-    parts = [read_files(spark, p, glob, pdf).withColumn("source", F.lit(p)) for p in paths]
-    docs = parts[0]
-    for p in parts[1:]:
-        docs = docs.unionByName(p)
-    docs = docs.withColumn("pages_needing_ocr", F.array().cast("array<int>"))
-    return report.doc_facts(docs, "path").withColumn("text", sanitize(F.col("text")))
+def resolve(spark: SparkSession, inputs: list[str], options: Options | None = None, glob: str | None = None, pdf: Reader | None = None) -> tuple[DataFrame, DataFrame]:
+    """(documents, notes) of files, folders, pages, sites and repositories: one row per document with its facts, and what there is to say of a source."""
+    docs, notes = read_sources(spark, inputs, options, glob, pdf)
+    return report.doc_facts(docs, "path").withColumn("text", sanitize(F.col("text"))), notes
+
+
+def extract(spark: SparkSession, inputs: list[str], glob: str | None = None, pdf: Reader | None = None, options: Options | None = None) -> DataFrame:
+    """The documents of ``resolve``: source, kind, path, origin, local_path, method, text, pages_needing_ocr, error and facts.  What can't be read is a row with an error."""
+    return resolve(spark, inputs, options, glob, pdf)[0]
 
 
 def classify(spark: SparkSession, raw: list[str], existing: set[str] | None = None) -> DataFrame:
@@ -70,7 +70,7 @@ def refresh(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def replay(spark: SparkSession, lock: Lock) -> DataFrame:
     """(key, change) since a build: its sources read again, held against what is on record."""
-    again = extract(spark, lock.source_inputs).where("error IS NULL").select(F.col("path").alias("key"), "content_hash")
+    again = extract(spark, lock.source_inputs, options=lock.source_options).where("error IS NULL").select(F.col("path").alias("key"), "content_hash")
     return refresh(lock.snapshot(spark), again)
 
 
@@ -91,4 +91,4 @@ def passes(results: DataFrame, least: float) -> DataFrame:
     return results.agg((F.coalesce(F.avg(F.col("passed").cast("double")), F.lit(0.0)) >= least).alias("passed"))
 
 
-__all__ = ["audit", "build", "classify", "examine", "extract", "passes", "plan", "record", "refresh", "replay"]
+__all__ = ["audit", "build", "classify", "examine", "extract", "passes", "plan", "record", "refresh", "replay", "resolve"]

@@ -20,6 +20,15 @@ def parser() -> argparse.ArgumentParser:
     extract = sub.add_parser("extract", help="read files into a table of texts and facts")
     extract.add_argument("source", nargs="+")
     extract.add_argument("--glob")
+    extract.add_argument("--crawl", action="store_true", help="walk sites instead of reading single pages")
+    extract.add_argument("--max-pages", type=int, default=50)
+    extract.add_argument("--depth", type=int, default=3)
+    extract.add_argument("--delay-ms", type=int, default=250)
+    extract.add_argument("--no-llms-txt", action="store_true")
+    extract.add_argument("--branch")
+    extract.add_argument("--max-files", type=int, default=200)
+    extract.add_argument("--include", action="append", default=[])
+    extract.add_argument("--exclude", action="append", default=[])
     extract.add_argument("--out", required=True, help="folder for the table")
     audit = sub.add_parser("audit", help="findings on skills; exit 1 on errors")
     audit.add_argument("path")
@@ -66,7 +75,13 @@ def main(argv: list[str] | None = None) -> int:
     from pyspark.sql.functions import concat_ws, format_string, lit
 
     if a.command == "extract":
-        api.extract(spark, a.source, a.glob).write.mode("overwrite").parquet(a.out)
+        from lectern.sources.locks import Options
+
+        options = Options(a.crawl, a.max_pages, a.depth, a.delay_ms, a.no_llms_txt, a.branch, a.max_files, a.include, a.exclude)
+        docs, notes = api.resolve(spark, a.source, options, a.glob)
+        for r in notes.collect():
+            print(f"{r['source']}: {r['note']}", file=sys.stderr)
+        docs.write.mode("overwrite").parquet(a.out)
         done = spark.read.parquet(a.out)
         failed = done.where("error IS NOT NULL").count()
         print(json.dumps({"documents": done.count() - failed, "failures": failed}))

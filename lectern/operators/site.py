@@ -26,14 +26,15 @@ def page_links(pages: DataFrame, starts: DataFrame) -> DataFrame:
     return stored(joined.select("crawl", F.col("url").alias("source"), "ordinal", U.render(F.col("_t")).alias("target"), *kind))
 
 
-def crawl_site(answers: DataFrame, starts: DataFrame, robots: DataFrame | None = None, depth: int = W.DEPTH, most: int = W.MOST_PAGES) -> tuple[DataFrame, DataFrame]:
+def crawl_site(answers: DataFrame, starts: DataFrame, robots: DataFrame | None = None, depth: int = W.DEPTH, most: int = W.MOST_PAGES, seeds: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(documents, statistics) of crawls over answers (crawl, url, content_type, bytes) from starts (crawl, start).
 
     documents: crawl, place, url, depth, method, text; a page is cut to its content
     under a header with its title and address, other answers keep their text for readers of files (null here).
     statistics, one row per crawl: pages_fetched, skipped_by_robots, outside_prefix, hit_page_limit.
     An address that isn't among the answers could not be fetched and takes no place.
-    robots is (origin, body); without it everything is allowed.
+    robots is (origin, body); without it everything is allowed.  seeds (crawl, target, ordinal) are
+    followed from the start, as if its page linked to them.
     """
     most = max(1, most)
     at = U.render(U.without_decoration(U.parse(F.col("url"))))
@@ -43,6 +44,9 @@ def crawl_site(answers: DataFrame, starts: DataFrame, robots: DataFrame | None =
     linked = page_links(pages, starts)
     beside = linked.groupBy("crawl").agg(F.count_distinct(F.when(F.col("beside"), F.col("target"))).alias("outside_prefix"))
     follow = linked.where("follow").select("crawl", "source", "ordinal", "target")
+    if seeds is not None:
+        home = starts.select("crawl", U.render(U.without_decoration(U.parse(F.col("start")))).alias("source"))
+        follow = follow.unionByName(seeds.select("crawl", "target", "ordinal").join(home, "crawl").select("crawl", "source", "ordinal", "target"))
     follow = follow.join(known.select("crawl", F.col("url").alias("target")), ["crawl", "target"], "left_semi")
     begin = starts.select("crawl", U.render(U.without_decoration(U.parse(F.col("start")))).alias("page"))
     refused = begin.select("crawl", F.lit(0).cast("bigint").alias("skipped_by_robots")).limit(0)

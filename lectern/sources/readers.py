@@ -12,6 +12,7 @@ import io
 import re
 import zipfile
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -22,10 +23,10 @@ from lectern.functions import html as H
 from lectern.functions import text as T
 from lectern.operators.paged import clean_paged_text
 from lectern.operators.sources import path_extension, route
-from lectern.sources.tables import in_batches, ship
+from lectern.sources.tables import in_batches, ship, stored
 
-#: A reader turns the bytes of a file into text; any exception is a failure of that file.
-Reader = Callable[[bytes], str]
+#: A reader turns the bytes of a file into text, or text and pages to look at (``Paged``); any exception is a failure of that file.
+Reader = Callable[[bytes], "str | Paged"]
 #: The most an archive may unpack to, against bombs.
 MOST_UNPACKED = 256 * 1024 * 1024
 
@@ -112,49 +113,69 @@ def read_office(data: bytes, extension: str) -> str:
     raise ValueError(f"no reader for .{extension}")
 
 
-def read_files(spark: SparkSession, path: str, glob: str | None = None, pdf: Reader | None = None) -> DataFrame:
-    """(path, extension, method, text, pages_needing_ocr, error) of the files under a path.
+class Paged(NamedTuple):
+    """What a reader of paged files may say beside the text."""
+
+    text: str
+    pages_needing_ocr: list[int] = []
+
+
+_READ = "path string, extension string, method string, text string, pages_needing_ocr array<int>, error string"
+
+
+def read_rows(rows: DataFrame, pdf: Reader | None = None) -> DataFrame:
+    """(path, extension, method, text, pages_needing_ocr, error) of files (path, extension, content).
 
     Local HTML keeps its furniture (only fetched pages are cut to their content); bytes
-    that aren't UTF-8 are replaced; text is null exactly where error is set.
+    that aren't UTF-8 are replaced; text is null where error is set, or where all of its pages have to be looked at.
     """
-    ship(spark)
-    source = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    files = (source.option("pathGlobFilter", glob) if glob else source).load(path)
-    rows = files.select("path", path_extension(F.col("path")).alias("extension"), "content").withColumn("route", route(F.col("extension")))
-    schema = "path string, extension string, method string, text string, error string"
-
-    plain = rows.where("route = 'text'").select("path", "extension", F.lit("plain-text").alias("method"), T.lossy(F.col("content")).alias("text"), F.lit(None).cast("string").alias("error"))
-    pages = rows.where("route = 'html'").select("path", "extension", F.lit("html-strip").alias("method"), H.strip(T.lossy(F.col("content"))).alias("text"), F.lit(None).cast("string").alias("error"))
+    rows = rows.select("path", "extension", "content", route(F.col("extension")).alias("route"))
+    none = (F.array().cast("array<int>").alias("pages_needing_ocr"), F.lit(None).cast("string").alias("error"))
+    plain = rows.where("route = 'text'").select("path", "extension", F.lit("plain-text").alias("method"), T.lossy(F.col("content")).alias("text"), *none)
+    pages = rows.where("route = 'html'").select("path", "extension", F.lit("html-strip").alias("method"), H.strip(T.lossy(F.col("content"))).alias("text"), *none)
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, errors, methods = [], [], []
+            texts, errors, methods, looked = [], [], [], []
             for data, extension, kind in zip(batch.column(2).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                text, error = None, None
+                text, error, look = None, None, []
                 try:
                     if kind == "office":
                         text = read_office(data, extension)
                     elif kind == "pdf" and pdf is not None:
-                        text = pdf(data)
+                        found = pdf(data)
+                        text, look = found if isinstance(found, Paged) else (found, [])
                     else:
                         error = f"no reader for .{extension}" if kind else f"unsupported: .{extension}"
                 except Exception as e:  # noqa: BLE001 - one bad file must not end the run
                     error = f"{type(e).__name__}: {e}"[:500]
                 texts.append(text)
                 errors.append(error)
+                looked.append(look)
                 methods.append("anydoc" if kind == "office" else "pdf-markdown" if kind == "pdf" else None)
-            arrays = [batch.column(0), batch.column(1), *(pa.array(x, pa.string()) for x in (methods, texts, errors))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["path", "extension", "method", "text", "error"])
+            arrays = [batch.column(0), batch.column(1), pa.array(methods, pa.string()), pa.array(texts, pa.string()), pa.array(looked, pa.list_(pa.int32())), pa.array(errors, pa.string())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["path", "extension", "method", "text", "pages_needing_ocr", "error"])
 
     other = rows.where("route IS NULL OR route IN ('office', 'kindle', 'pdf')").select("path", "extension", "content", "route")
-    rest = in_batches(other.select("path", "extension", "content", "route"), convert, schema)
+    rest = in_batches(other, convert, _READ)
+    if pdf is None:
+        return plain.unionByName(pages).unionByName(rest)
+    # each file is parsed once; what was read is cleaned of its pages' edges from a table
+    rest = stored(rest)
     paged = rest.where("method = 'pdf-markdown' AND text IS NOT NULL")
     cleaned = paged.drop("text").join(clean_paged_text(paged, "path"), "path").select(*rest.columns)
     unpaged = rest.where("NOT (method <=> 'pdf-markdown' AND text IS NOT NULL)")
     return plain.unionByName(pages).unionByName(unpaged).unionByName(cleaned)
 
 
+def read_files(spark: SparkSession, path: str, glob: str | None = None, pdf: Reader | None = None) -> DataFrame:
+    """``read_rows`` of the files under a path."""
+    ship(spark)
+    source = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    files = (source.option("pathGlobFilter", glob) if glob else source).load(path)
+    return read_rows(files.select("path", path_extension(F.col("path")).alias("extension"), "content"), pdf)
+
+
 def read_skills(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(skills, refs) under a folder: each SKILL.md that lies in no other skill, and the files of its references folder."""
     from lectern.operators.skills import field, frontmatter
@@ -163,7 +184,10 @@ def read_skills(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", T.lossy(F.col("content")).alias("raw"))
     files = files.where(~F.col("path").rlike(r"/(?:\.[^/]+|node_modules|target|venv)/"))
     own = files.where(F.col("path").endswith("/SKILL.md")).withColumn("dir", F.regexp_replace("path", r"/SKILL\.md$", ""))
-    inner = own.select(F.col("dir").alias("_inner")).join(own.select(F.col("dir").alias("_outer")), F.startswith("_inner", F.concat("_outer", F.lit("/")))).select(F.col("_inner").alias("dir")).distinct()
+    # a folder's ancestors, so that nested skills are found by equality
+    steps = F.split("dir", "/")
+    above = own.select("dir", F.explode(F.transform(F.sequence(F.lit(1), F.size(steps) - 1), lambda n: F.array_join(F.slice(steps, F.lit(1), n), "/"))).alias("_above"))
+    inner = above.join(own.select(F.col("dir").alias("_above")), "_above").select("dir").distinct()
     top = own.join(inner, "dir", "left_anti").withColumn("f", frontmatter(F.col("raw")))
     named = ("name", "description", "license")
     skills = top.select(

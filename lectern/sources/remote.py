@@ -12,6 +12,7 @@ import os
 import re
 import shutil
 import subprocess
+import time
 import urllib.error
 import urllib.request
 from collections.abc import Iterator
@@ -64,6 +65,7 @@ class HttpReader(DataSourceReader):
     def __init__(self, options) -> None:
         self.urls = list(dict.fromkeys(u.strip() for u in options.get("urls", "").split("\n") if u.strip()))
         self.shares = max(1, int(options.get("partitions", "8")))
+        self.delay = max(0, int(options.get("delay_ms", "0"))) / 1000
 
     def partitions(self) -> list[InputPartition]:
         # the addresses of one host stay together, so that no host is asked from two sides
@@ -74,18 +76,20 @@ class HttpReader(DataSourceReader):
         return [InputPartition(s) for s in shares.values()]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        for asked in partition.value:
+        for n, asked in enumerate(partition.value):
+            if n and self.delay:
+                time.sleep(self.delay)
             url, data, kind, error = fetch(asked)
             yield asked, url, kind, data, error
 
 
-def read_urls(spark: SparkSession, urls: list[str], partitions: int = 8) -> DataFrame:
-    """(asked, url, content_type, bytes, error) of addresses; repeated ones are asked once."""
+def read_urls(spark: SparkSession, urls: list[str], partitions: int = 8, delay_ms: int = 0) -> DataFrame:
+    """(asked, url, content_type, bytes, error) of addresses; repeated ones are asked once, those of one host with a delay between them."""
     from lectern.sources.tables import ship
 
     ship(spark)
     spark.dataSource.register(HttpSource)
-    return spark.read.format("lectern_http").option("urls", "\n".join(urls)).option("partitions", partitions).load()
+    return spark.read.format("lectern_http").option("urls", "\n".join(urls)).option("partitions", partitions).option("delay_ms", delay_ms).load()
 
 
 # repositories
@@ -112,7 +116,7 @@ def checkout(url: str, folder: str, label: str, branch: str | None = None, subdi
 
 
 def read_checkout(spark: SparkSession, path: str, label: str, origin: str, include: list[str] | None = None, exclude: list[str] | None = None, most: int = 200) -> DataFrame:
-    """The documents of a checkout in reading order: path as label:file, origin, method, text, error, place, dropped (how many were cut off)."""
+    """The documents of a checkout in reading order: path as label:file, origin, local_path, method, text, error, place, dropped (how many were cut off)."""
     from pyspark.sql import functions as F
 
     from lectern.operators.sources import repo_select
@@ -124,7 +128,7 @@ def read_checkout(spark: SparkSession, path: str, label: str, origin: str, inclu
     files = listed.select(F.lit(label).alias("repo"), relative.alias("file"), "length")
     chosen = repo_select(files, "repo", "file", F.col("length"), include, exclude, max(1, most))
     read = read_files(spark, root).withColumn("file", F.regexp_replace(F.regexp_replace("path", r"^file:/*", "/"), "^" + re.escape(root) + "/", ""))
-    return read.drop("path").join(chosen, "file").select(F.concat(F.lit(f"{label}:"), "file").alias("path"), F.lit(origin).alias("origin"), "method", "text", "error", "place", "dropped")
+    return read.drop("path").join(chosen, "file").select(F.concat(F.lit(f"{label}:"), "file").alias("path"), F.lit(origin).alias("origin"), F.concat(F.lit(root + "/"), "file").alias("local_path"), "method", "text", "pages_needing_ocr", "error", "place", "dropped")
 
 
 def tools() -> list[tuple[str, str | None]]:
