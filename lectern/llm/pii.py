@@ -20,10 +20,12 @@ that overlaps another is dropped for the one of the surer kind (email, street, i
 
 from __future__ import annotations
 
+import collections
 import math
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,22 +39,22 @@ MAX_NAMES = 100_000
 DIM = 1 << 16
 KINDS = ["email", "street", "id", "phone", "person"]
 
-# candidates
+# candidates; patterns begin with a set of signs, so that a search skips what none can begin with, and look behind after it
 
 _AT = re.compile(r"@| ?[(\[{] ?at ?[)\]}] ?| at ", re.I)
-_AT_SIGN = re.compile(r" at |at ?[)\]}]", re.I)
+_AT_SIGNS = (" at ", "at)", "at]", "at}", "at )", "at ]", "at }")
 _LOCAL = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9_])?$|[A-Za-z0-9]$")
 _HOST = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:(?:\.| ?[(\[{] ?dot ?[)\]}] ?| dot )[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+", re.I)
 
-_NUMBER = re.compile(r"(?<![A-Za-zÀ-ÿ0-9_.@/-])[+(]?\d(?:[\d().\-/‐-–‑   ]{4,24})\d(?![A-Za-zÀ-ÿ0-9_@])")
-_CODE = re.compile(r"(?<![A-Za-zÀ-ÿ0-9_/@.-])(?=[A-Z0-9 -]{0,4}\d)[A-Z0-9](?:[A-Z0-9ÑÄÖÜ]|[ -](?=[A-Z0-9])){5,24}(?![A-Za-zÀ-ÿ0-9_@])")
+_NUMBER = re.compile(r"[+(\d](?<![A-Za-zÀ-ÿ0-9_.@/-].)(?:(?<=\d)|(?<=[+(])\d)(?:[\d().\-/‐-–‑   ]{4,24})\d(?![A-Za-zÀ-ÿ0-9_@])")
+_CODE = re.compile(r"[A-Z0-9](?<![A-Za-zÀ-ÿ0-9_/@.-].)(?:(?<=\d)|(?=[A-Z0-9 -]{0,3}\d))(?:[A-Z0-9ÑÄÖÜ]|[ -](?=[A-Z0-9])){5,24}(?![A-Za-zÀ-ÿ0-9_@])")
 
 _CAP = r"[A-ZÀ-ÖØ-Þ][A-Za-zÀ-ÿ'’]*"
 _STREET = re.compile(
-    rf"(?<![A-Za-zÀ-ÿ0-9_.-])\d{{1,4}}[A-Z]?(?: [NSEW]\.?)?(?: {_CAP}(?:-{_CAP})*){{1,4}}? (?:Street|St|Road|Rd\.?|Avenue|Ave\.?|Lane|Ln\.?|Boulevard|Blvd\.?|Close|Drive|Court|Crescent|Terrace|Way|Place|Square|Row|Gardens|Mews|Parkway|Highway|STREET|ST|ROAD|RD\.?|AVENUE|LANE|BOULEVARD|CLOSE|DRIVE)(?![A-Za-zÀ-ÿ0-9_])"
-    rf"|(?<![A-Za-zÀ-ÿ0-9_.-])\d{{1,4}}(?: (?:bis|ter|quater))?,? (?:rue|avenue|boulevard|bd\.?|chemin|place|allée|impasse|quai|route|cours|passage|square|ruelle|sentier|faubourg)(?: (?:de la|de l['’]|du|des|de|d['’]|le|la|les|aux?))? ?{_CAP}(?:[ -]{_CAP})*"
+    rf"\d(?<![A-Za-zÀ-ÿ0-9_.-].)\d{{0,3}}(?:[A-Z]?(?: [NSEW]\.?)?(?: {_CAP}(?:-{_CAP})*){{1,4}}? (?:Street|St|Road|Rd\.?|Avenue|Ave\.?|Lane|Ln\.?|Boulevard|Blvd\.?|Close|Drive|Court|Crescent|Terrace|Way|Place|Square|Row|Gardens|Mews|Parkway|Highway|STREET|ST|ROAD|RD\.?|AVENUE|LANE|BOULEVARD|CLOSE|DRIVE)(?![A-Za-zÀ-ÿ0-9_])"
+    rf"|(?: (?:bis|ter|quater))?,? (?:rue|avenue|boulevard|bd\.?|chemin|place|allée|impasse|quai|route|cours|passage|square|ruelle|sentier|faubourg)(?: (?:de la|de l['’]|du|des|de|d['’]|le|la|les|aux?))? ?{_CAP}(?:[ -]{_CAP})*)"
 )
-_STREET_ES = re.compile(rf"(?<![A-Za-zÀ-ÿ0-9_])(?:Calle|C/|Av(?:enida|da\.?|\.)|P(?:laza|za\.?|aseo|º)|Ca(?:mino|rrera|rretera|llejón)|Ronda|Travesía)(?: (?:de la|de los|de las|del|de|la|el))? ?{_CAP}(?:[ -]{_CAP})*,? (?:n\.?º ?)?\d{{1,4}}(?![A-Za-zÀ-ÿ0-9_])")
+_STREET_ES = re.compile(rf"[CAPRT](?<![A-Za-zÀ-ÿ0-9_].)(?:(?<=C)(?:alle|/|a(?:mino|rrera|rretera|llejón))|(?<=A)v(?:enida|da\.?|\.)|(?<=P)(?:laza|za\.?|aseo|º)|(?<=R)onda|(?<=T)ravesía)(?: (?:de la|de los|de las|del|de|la|el))? ?{_CAP}(?:[ -]{_CAP})*,? (?:n\.?º ?)?\d{{1,4}}(?![A-Za-zÀ-ÿ0-9_])")
 _HOUSE = re.compile(r" \d{1,4}(?: ?[a-z](?![A-Za-zÀ-ÿ0-9_]))?(?![A-Za-zÀ-ÿ0-9_])")
 _STREET_DE = re.compile(r"(?i)(?:stra(?:ß|ss)e|str\.|gasse|weg|platz|allee|ring|damm|ufer|pfad|steig|chaussee)$")
 _STREET_DE_HEAD = re.compile(r"(?<![A-Za-zÀ-ÿ0-9_-])(?:(?:Am|An der|An den|In der|Im|Auf der|Auf dem|Zum|Zur|Unter den|Hinter der) )?(?:[A-ZÄÖÜ][A-Za-zÀ-ÿ]*[- ]?)*$")
@@ -117,8 +119,8 @@ def _persons(text: str) -> Iterator[tuple[int, int]]:
 def candidates(text: str) -> list[tuple[str, int, int]]:
     """Proposed spans of all kinds; they may overlap."""
     out = []
-    low = "@" in text or _AT_SIGN.search(text) is not None
-    if low:
+    low = text.lower()
+    if "@" in text or any(sign in low for sign in _AT_SIGNS):
         out += [("email", a, b) for a, b in _emails(text)]
     out += [("street", *m.span()) for p in (_STREET, _STREET_ES) for m in p.finditer(text)]
     for m in _HOUSE.finditer(text):
@@ -321,24 +323,27 @@ WORD, HEAD, PHRASE = (2000, 3), (100 / 3, 8), (600, 4)
 _OPEN_COUNTS = 200_000
 
 
+class Pieces(dict):
+    """What stands in a piece of text without blanks: its words in lower case ("w") and capitalised ("h")."""
+
+    def __missing__(self, piece: str) -> tuple[tuple[str, str], ...]:
+        self[piece] = words = (*(("w", w) for w in _LOWER.findall(piece)), *(("h", w.lower()) for w in _HEAD.findall(piece)))
+        return words
+
+
 class Counter:
     """In how many documents words stand in lower case ("w") and capitalised ("h"), and pairs that look like names, but don't begin with a given one, stand ("p") and are said to be persons' ("q")."""
 
     def __init__(self, names: frozenset[str]) -> None:
         self.given = {n.lower() for n in names}
-        self.counts: dict[tuple[str, str], int] = {}
-        self.known: dict[str, tuple[tuple[str, str], ...]] = {}
+        self.counts: collections.Counter[tuple[str, str]] = collections.Counter()
+        self.known = Pieces()
 
     def add(self, text: str) -> None:
         if len(self.known) > 500_000:
             self.known.clear()
-        found: set[tuple[str, str]] = set()
         # no word reaches beyond the blanks around it
-        for piece in set(text.split()):
-            words = self.known.get(piece)
-            if words is None:
-                words = self.known[piece] = (*(("w", w) for w in _LOWER.findall(piece)), *(("h", w.lower()) for w in _HEAD.findall(piece)))
-            found.update(words)
+        found = set(chain.from_iterable(map(self.known.__getitem__, set(text.split()))))
         for a, b in _persons(text):
             span = text[a:b]
             if span.split()[0].lower() in self.given:
@@ -346,8 +351,7 @@ class Counter:
             found.add(("p", span))
             if ("q", span) not in found and (_PERSON_BEHIND.match(text, b) or _PERSON_BEFORE.search(text[max(0, a - 20) : a])):
                 found.add(("q", span))
-        for f in found:
-            self.counts[f] = self.counts.get(f, 0) + 1
+        self.counts.update(found)
 
 
 def common_words(counts: dict[tuple[str, str], int], documents: int, names: frozenset[str]) -> frozenset[str]:
