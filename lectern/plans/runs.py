@@ -61,7 +61,9 @@ def route_by_ext(spark: SparkSession, d: str) -> DataFrame:
     return _reports(spark, d).select("file_id", ext.alias("ext"), S.route(ext).alias("route"))
 
 
-@R.add("SELECT unnest(string_split('" + " ".join(S.formats()) + "', ' ')) AS ext")
+@R.add(
+    "SELECT unnest(string_split('adoc asciidoc azw azw3 csv doc docm docx epub htm html markdown md mobi odp ods odt pdf pot pps ppsm ppsx ppt pptm pptx rst rtf text txt xhtml xls xlsb xlsm xlsx', ' ')) AS ext"
+)
 def list_formats(spark: SparkSession, d: str) -> DataFrame:
     return spark.range(1).select(F.explode(F.array(*map(F.lit, S.formats()))).alias("ext"))
 

@@ -78,6 +78,7 @@ def tools_of(spark) -> dict[str, tuple[str, Tool]]:
     from pyspark.sql import functions as F
 
     from lectern import api
+    from lectern.sources.locks import Options
     from lectern.sources.tables import stored
 
     # the texts read last, as rows (start, text) in the order of the paths, and the characters of all with a blank line between
@@ -98,7 +99,12 @@ def tools_of(spark) -> dict[str, tuple[str, Tool]]:
         return {name: page, f"{name}_total": total} | ({f"{name}_continue_at": offset + len(page)} if offset + len(page) < total else {})
 
     def extract(arguments: dict[str, Any]) -> str:
-        rows = stored(api.extract(spark, strings(arguments, "sources")).select("path", "text", "estimated_tokens", "error").withColumn("id", F.monotonically_increasing_id()))
+        options = Options(
+            arguments.get("crawl") is True, number(arguments, "max_pages", 50), number(arguments, "depth", 3), number(arguments, "delay_ms", 250), arguments.get("no_llms_txt") is True,
+            arguments["branch"] if isinstance(arguments.get("branch"), str) else None, number(arguments, "max_files", 200), strings(arguments, "include"), strings(arguments, "exclude"),
+        )
+        read, notes = api.resolve(spark, strings(arguments, "sources"), options)
+        rows = stored(read.select("path", "text", "estimated_tokens", "error").withColumn("id", F.monotonically_increasing_id()))
         there = F.length("text") > 0
         documents, characters, tokens = rows.agg(F.count_if(there), F.sum(F.when(there, F.length("text").cast("bigint"))), F.sum("estimated_tokens")).first()
         # only lengths go in the window over all; every text but the first has a blank line before it
@@ -109,7 +115,8 @@ def tools_of(spark) -> dict[str, tuple[str, Tool]]:
         last.update(texts=stored(texts), size=(characters or 0) + 2 * max(0, documents - 1))
         failed = shown("failures", rows.where("error <> ''").select("path", "error"), arguments)
         failed["failures"] = [f"{r['path']}: {r['error']}" for r in failed["failures"]]
-        return json.dumps({"documents": documents, "estimated_tokens": tokens or 0} | failed)
+        said = [f"{r['source']}: {r['note']}" for r in notes.collect()]
+        return json.dumps({"documents": documents, "characters": characters or 0, "estimated_tokens": tokens or 0, "notes": said} | failed)
 
     def audit(arguments: dict[str, Any]) -> str:
         findings, tree, _ = api.audit(spark, str(arguments.get("path", ".")), number(arguments, "budget", 2000))

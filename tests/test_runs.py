@@ -198,3 +198,36 @@ def test_registry_is_whole():
 
     queries, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(queries) and len(queries) > 70
+
+
+def _model_of_questions():
+    def _model(system, user):
+        """Asks two questions an excerpt (a third too many), answers from the text, grades by what was given."""
+        import re
+
+        if system.startswith("Write questions"):
+            n = int(re.match(r"Questions wanted: (\d+)", user).group(1))
+            word = user.split("\n\n", 1)[1].split()[0]
+            return "Here: " + json.dumps([{"question": f"What is {word} {i}?", "answer": word, "section": f"part {word}"} for i in range(n)] + [{"question": "one too many", "answer": "", "section": ""}])
+        if system.startswith("Answer"):
+            context, question = user.rsplit("\n\nQuestion: ", 1)
+            word = question.split()[2]
+            return word if word in context else "NOT COVERED"
+        return "\n".join(f"{n}: {'PASS' if given == expected else 'FAIL - not there'}" for n, expected, given in re.findall(r"(\d+)\. Question: .*\nExpected: (.*)\nGiven: (.*)", user))
+
+    return _model
+
+
+def test_evaluation(spark):
+    skills_ = spark.createDataFrame([(1, "about harbours", "alpha body"), (2, "big", "word " * 70_000), (3, "no questions", "x")], "skill_id bigint, description string, body string")
+    refs = spark.createDataFrame([(1, "references/a.md", "beta text")], "skill_id bigint, path string, text string")
+    texts = spark.createDataFrame([(1, "alpha one\nbeta two\ngamma three\n"), (2, "delta\n"), (3, None)], "skill_id bigint, text string")
+    graded, report = api.evaluate(skills_, refs, texts, 6, _model_of_questions())
+    rows = {(r["skill_id"], r["ordinal"]): r for r in graded.collect()}
+    assert {k[0] for k in rows} == {1, 2} and not any(r["question"] == "one too many" for r in rows.values())
+    assert all("over 60000 tokens" in r["given"] and not r["passed"] for k, r in rows.items() if k[0] == 2)
+    got = {r["skill_id"]: r for r in report.collect()}
+    assert got[2]["pass_rate"] == 0.0 and got[2]["weak_sections"] == ["part delta"]
+    assert all(r["passed"] == (r["expected"] in {"alpha", "beta"}) for k, r in rows.items() if k[0] == 1) and 0 < got[1]["pass_rate"] <= 1
+    with pytest.raises(ValueError):
+        api.ask(texts, 0, _model_of_questions())
